@@ -15,6 +15,12 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def op1_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import decontaminate
+
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import chat
 
@@ -24,6 +30,12 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(conv.unionByName(extra)))
 
 
+def op3_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import licenses
+
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import quality
 
@@ -31,6 +43,12 @@ def op4_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import toxicity
 
@@ -47,7 +65,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_prefix_targets, op4_quality_fertility, op7_toxicity_nnpu, op8_pattern_packing)
+    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing)
 }
 
 #: DuckDB. Escaping adds one character for each backslash and each "<|"; turn frames add len("<|im_start|>\\n<|im_end|>\\n") = 24 and the role.
