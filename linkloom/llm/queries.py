@@ -64,8 +64,15 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op9_neardup_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import neardup
+
+    _small_batches(spark)
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing)
+    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing, op9_neardup_dartminhash)
 }
 
 #: DuckDB. Escaping adds one character for each backslash and each "<|"; turn frames add len("<|im_start|>\\n<|im_end|>\\n") = 24 and the role.
