@@ -43,6 +43,12 @@ def op4_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op5_url_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import urlgraph
+
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import pii
 
@@ -71,8 +77,15 @@ def op9_neardup_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm import substring
+
+    _small_batches(spark)
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing, op9_neardup_dartminhash)
+    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op5_url_link_trust, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing, op9_neardup_dartminhash, op10_substring_chaining)
 }
 
 #: DuckDB. Escaping adds one character for each backslash and each "<|"; turn frames add len("<|im_start|>\\n<|im_end|>\\n") = 24 and the role.
