@@ -14,6 +14,7 @@ table gives an empty table. Extra columns are ignored, or carried by ``pack`` if
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,20 @@ CLASSES, PATTERN_DOCS = 64, 3
 
 
 class _Tokens:
-    """A worker's tokeniser. The ids of white-space-bounded chunks are kept up to a bound; beyond it the store starts anew."""
+    """A worker's tokeniser. The ids of white-space-bounded chunks are kept up to a bound."""
 
     _own: dict[str, _Tokens] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t, self.most, self.ids = Tokenizer.from_file(path), most, {}
+        vocabulary = self.t.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
 
     @classmethod
@@ -55,20 +59,52 @@ class _Tokens:
         ASCII white space are independent. Texts that hold a special token's string are encoded whole.
         """
         data = text.encode("utf-8", "replace")
-        if any(s in data for s in self.special):
+        low = data.lower()  # ASCII letters only
+        if any(s in low for s in self.special):
             return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, ids = data.lower().split(), self.ids  # bytes.lower(): ASCII letters only
+        chunks, ids = low.split(), self.ids
         try:
             return b"".join(map(ids.__getitem__, chunks))
         except KeyError:
             new = list({c for c in chunks if c not in ids})
-            if len(ids) + len(new) > self.most:
-                ids.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.t.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                ids[c] = np.array(e.ids, "<u4").tobytes()
+            if len(ids) + len(new) > self.most:  # what came first is met most often, so the later half goes
+                for c in list(islice(reversed(ids), self.most // 2)):
+                    del ids[c]
+                new = list({c for c in chunks if c not in ids})
+            self._learn(new)
             return b"".join(map(ids.__getitem__, chunks))
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Words of letters alone are one pre-token each, so many are encoded as one text and cut after each word-end id."""
+        words, marked, rest = set(), [], []
+        for c in chunks:
+            w, tail = c.decode(), ""
+            if w[-1] in ".,;:!?" and len(w) > 1:  # after a letter, one such mark is a pre-token of its own
+                w, tail = w[:-1], w[-1]
+            if not w.lower().isalpha():
+                rest.append(c)
+            elif tail:
+                marked.append((c, w, tail))
+                words.add(w)
+            else:
+                words.add(w)
+        words = [w for w in words if w.encode() not in self.ids]
+        if words:
+            ids = np.array(self.t.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(words):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(words, (4 * ends).tolist()):
+                    self.ids[w.encode()] = data[at:end]
+                    at = end
+            else:
+                rest += [w.encode() for w in words]
+        rest += [t.encode() for t in {t for _, _, t in marked} if t.encode() not in self.ids]
+        for c, e in zip(rest, self.t.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)):
+            self.ids[c] = np.array(e.ids, "<u4").tobytes()
+        for c, w, tail in marked:
+            self.ids[c] = self.ids[w.encode()] + self.ids[tail.encode()]
+
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit)."""
