@@ -46,7 +46,6 @@ class FertilityRules:
     max_repeat_percent: int = 50
     by_language: dict[str, Band] = field(default_factory=lambda: {"en": Band(), "de": Band(), "fr": Band(), "es": Band()})
     by_script: dict[str, Band] = field(default_factory=lambda: {"latin": Band((1.5, 12.0), 0.10, (0.30, 1.0)), "cyrillic": Band((0.8, 12.0), 0.15), "cjk": Band((0.25, 4.0), 0.60), "other": Band((0.25, 12.0), 0.90)})
-    cache_words: int = 300_000
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -79,11 +78,11 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 class _Vocabularies:
-    """A worker's tokenisers. Words' piece counts are kept up to a bound; beyond it the store starts anew."""
+    """A worker's tokenisers, and which characters the piece vocabulary has only as bytes."""
 
     _own: dict[tuple[str, str], _Vocabularies] = {}
 
-    def __init__(self, ranks_path: str, pieces_path: str, most: int):
+    def __init__(self, ranks_path: str, pieces_path: str):
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -93,7 +92,7 @@ class _Vocabularies:
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.most, self.counts = most, {}
+        self.falls: dict[str, bool] = {}
 
     @classmethod
     def get(cls, *key) -> _Vocabularies:
@@ -101,18 +100,17 @@ class _Vocabularies:
             cls._own[key] = cls(*key)
         return cls._own[key]
 
-    def byte_share(self, words: list[bytes]) -> float:
-        """Of all pieces of the words, the share that are single bytes."""
-        counts = self.counts
-        new = list({w for w in words if w not in counts})
-        if new:
-            if len(counts) + len(new) > self.most:
-                counts.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)):
-                counts[w] = (len(ids) << 32) + sum(map(self.is_byte.__getitem__, ids)) if not w.isascii() else len(ids) << 32
-        total = sum(map(counts.__getitem__, words))
-        return (total & 0xFFFFFFFF) / max(1, total >> 32)
+    def byte_share(self, text: str, words: list[bytes]) -> float:
+        """Of all pieces of the words, the share that are single bytes. Only characters without a piece fall back, so texts without such have none."""
+        falls = False
+        for c in set(text):
+            if c not in self.falls:
+                self.falls[c] = c not in " \t\n\r\x0b\x0c" and bool(self.is_byte[self.pieces.encode(c)].any())
+            falls |= self.falls[c]
+        if not falls:
+            return 0.0
+        ids = self.pieces.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+        return sum(int(self.is_byte[x].sum()) for x in ids) / max(1, sum(map(len, ids)))
 
 
 def script_of(text: str, ascii_only: bool) -> str:
@@ -144,7 +142,7 @@ def measure(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir:
         import public_tokenizers
 
         place = (lambda n: os.path.join(tokenizer_dir, n)) if tokenizer_dir else public_tokenizers.path
-        voc = _Vocabularies.get(place(rules.vocabulary), place(rules.pieces), rules.cache_words)
+        voc = _Vocabularies.get(place(rules.vocabulary), place(rules.pieces))
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
@@ -156,7 +154,7 @@ def measure(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir:
                 if len(ids) > 1:
                     p = np.unique(ids, return_counts=True)[1] / len(ids)
                     entropy = float(-(p * np.log2(p)).sum() / math.log2(len(ids)))
-                rows.append((*base_counts(text), len(ids), len(text) / max(1, len(ids)), voc.byte_share(words), min(1.0, max(0.0, entropy)), script_of(text, len(data) == len(text))))
+                rows.append((*base_counts(text), len(ids), len(text) / max(1, len(ids)), voc.byte_share(text, words), min(1.0, max(0.0, entropy)), script_of(text, len(data) == len(text))))
             out = [pa.array(c) for c in zip(*rows)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], schema=_schema(batch.schema))
@@ -192,3 +190,12 @@ def judge(measured: DataFrame, rules: FertilityRules | None = None) -> DataFrame
 def quality(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir: str | None = None) -> DataFrame:
     """Measures and verdict of every row of documents(doc_id, text, lang)."""
     return judge(measure(docs, rules, tokenizer_dir), rules)
+
+
+def kept_rows(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir: str | None = None) -> DataFrame:
+    """The rows whose text is kept, with all their columns; one pass, without a join."""
+    columns = [c for c in docs.columns if c != "text"]
+    lang = "lang" if "lang" in columns else None
+    own = docs.select(F.struct(*columns).alias("_row"), F.col("lang").alias("lang") if lang else F.lit(None).cast("string").alias("lang"), "text", F.col("text").alias("_text"))
+    judged = judge(measure(own, rules, tokenizer_dir, keep=("_row", "_text", "lang")), rules)
+    return judged.where("kept").select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.{c}") for c in docs.columns))
