@@ -65,3 +65,8 @@ def shingle_hashes(words: str, k: int = SHINGLE_WORDS) -> str:
         f"CASE WHEN size({words}) >= {k} THEN transform(sequence(0, size({words}) - {k}), i -> xxhash64({items})) "
         f"WHEN size({words}) > 0 THEN array(xxhash64(concat_ws(' ', {words}))) ELSE cast(array() AS array<bigint>) END"
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts can be very long: bound the rows of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

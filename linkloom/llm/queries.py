@@ -7,12 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Texts can be very long: bound what an Arrow batch holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+from linkloom.llm.common import small_batches, table
 
 
 def op1_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +34,7 @@ def op3_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import quality
 
-    _small_batches(spark)
+    small_batches(spark)
     return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
 
 
@@ -58,14 +53,14 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import toxicity
 
-    _small_batches(spark)
+    small_batches(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import packing
 
-    _small_batches(spark)
+    small_batches(spark)
     pieces = packing.pieces(table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
@@ -73,19 +68,25 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_neardup_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import neardup
 
-    _small_batches(spark)
+    small_batches(spark)
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm import substring
 
-    _small_batches(spark)
+    small_batches(spark)
     return substring.passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op5_url_link_trust, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing, op9_neardup_dartminhash, op10_substring_chaining)
+    f.__name__: f for f in (op1_decontamination_simhash, op2_chat_prefix_targets, op3_license_minhash, op4_quality_fertility, op5_url_link_trust, op6_pii_bootstrap, op7_toxicity_nnpu, op8_pattern_packing, op9_neardup_dartminhash, op10_substring_chaining, pipeline)
 }
 
 #: DuckDB. Escaping adds one character for each backslash and each "<|"; turn frames add len("<|im_start|>\\n<|im_end|>\\n") = 24 and the role.
