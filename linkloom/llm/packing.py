@@ -189,7 +189,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
                 used: list[int] = []
                 room = capacity
                 for k, c in enumerate(pats[j]):
-                    high = min(c * width, room - sum((x - 1) * width + 1 for x in pats[j][k + 1 :]))
+                    rest = pats[j][k + 1 :]
+                    # The last one takes the longest that fits, of its class or above.
+                    high = min(c * width, room - sum((x - 1) * width + 1 for x in rest)) if rest else room
                     span = left[(c - 1) * width + 1 : high + 1].copy()
                     for u in used:
                         if (c - 1) * width < u <= high:
