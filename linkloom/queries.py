@@ -228,9 +228,9 @@ def browse_any(spark: SparkSession, d: str) -> DataFrame:
     return _found(_view(spark, d), BrowseQuery(groups=("Science", "Security"), kinds=("web", "doc", "video", "repo", "pdf")))
 
 
-@query(f"SELECT id, title FROM ({_VIEW}) AS v WHERE list_has_all(groups, ['Science', 'Security'])")
+@query(f"SELECT id, title FROM ({_VIEW}) AS v WHERE list_has_all(groups, ['AI/ML', 'Programming Languages'])")
 def browse_all(spark: SparkSession, d: str) -> DataFrame:
-    return _found(_view(spark, d), BrowseQuery(groups=("Science", "Security"), mode="all"))
+    return _found(_view(spark, d), BrowseQuery(groups=("AI/ML", "Programming Languages"), mode="all"))
 
 
 @query(f"SELECT id, title FROM ({_VIEW}) AS v WHERE (list_contains(groups, 'Science') OR len(groups) = 0) AND list_contains(tags, 'en')")
