@@ -108,14 +108,18 @@ def candidates(docs: DataFrame, keys: list[str], b: Bootstrap) -> DataFrame:
     ok = f"length(t.value) >= {b.min_token_chars} AND NOT exists(seeds, x -> x.start < t.end AND t.start < x.end)"
     seeds = seeds.withColumn("free", F.expr(f"filter(token, t -> {ok})"))
     ent = f"transform(concat(seeds, free), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', xxhash64(lower(x.value)), 'context', {_context('x.start')}))"
-    return seeds.select(*keys, F.expr("transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))").alias("base"), F.expr(ent).alias("ents"))
+    words = F.when(F.size("seeds") + F.size("free") > 0, F.split("text", r"\s+")).otherwise(F.expr("cast(array() AS array<string>)"))
+    found = seeds.select(*keys, F.expr("transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))").alias("base"), F.expr(ent).alias("ents"), words.alias("w"))
+    return found.withColumn("pairs", F.expr(_PAIRS)).drop("w")
 
 
-def _background(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each wanted pair of words occurs in all texts. One row per pair that occurs is counted before the shuffle."""
-    words = docs.select(F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
-    pairs = "CASE WHEN size(w) > 2 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(lower(w[i]), lower(w[i + 1]))) ELSE cast(array() AS array<bigint>) END"
-    return words.select(F.explode(F.expr(pairs)).alias("context")).join(contexts, "context").groupBy("context").agg(F.count(F.lit(1)).alias("occurs"))
+#: SQL: hashes of every two words that another follows.
+_PAIRS = "CASE WHEN size(w) > 2 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(lower(w[i]), lower(w[i + 1]))) ELSE cast(array() AS array<bigint>) END"
+
+
+def _background(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """How often each wanted pair of words occurs in rows of (context)."""
+    return pairs.join(contexts, "context").groupBy("context").agg(F.count(F.lit(1)).alias("occurs"))
 
 
 def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
@@ -123,9 +127,15 @@ def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
     occ = ents.select(F.explode("ents").alias("e")).where("e.context IS NOT NULL")
     graph = materialize(occ.groupBy(F.col("e.context").alias("context"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("e.kind") < 5).alias("seed")))
     # Patterns can gain support from tokens that are accepted later, so all values count towards the support asked for here.
-    wanted = graph.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.count_if("seed").alias("s")).where((F.col("k") >= b.min_values) & (F.col("s") > 0)).select("context")
+    wanted = graph.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.count_if("seed").alias("s"), F.sum("n").alias("n")).where((F.col("k") >= b.min_values) & (F.col("s") > 0)).select("context", "n")
     wanted = materialize(wanted)
-    occurs = materialize(_background(docs, wanted))
+    # What texts with entities hold of a pair bounds its score from above: pairs that can't reach min_pattern, like those of
+    # common words, needn't be counted in all texts.
+    some = _background(ents.select(F.explode("pairs").alias("context")), wanted.select("context"))
+    left = materialize(wanted.join(some, "context").where(F.col("n") >= b.min_pattern * F.col("occurs")).select("context"))
+    words = docs.select(F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
+    # Exploded without a name in between: a filter on a named array would be pushed below the split and repeat it for every word.
+    occurs = materialize(_background(words.select(F.explode(F.expr(_PAIRS)).alias("context")), left))
     graph = graph.join(occurs, "context")
     score = graph.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
     for _ in range(b.rounds):
@@ -165,8 +175,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, b: Bootstrap | None = None) -> DataFrame:
     """The same rows and columns; every span's text gives way to its kind in brackets, and n_chars, if there, is counted anew."""
-    keyed = materialize(docs.withColumn("_key", F.monotonically_increasing_id()))
-    spans = find(keyed, b, ("_key",)).where("size(spans) > 0").select("_key", "spans")
+    keyed = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("key")))
+    spans = find(keyed, b, ("key",)).where("size(spans) > 0").select("key", "spans")
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     # Overlapping spans are cut once: a span that starts before the last end is skipped up to that end.
     step = (
@@ -174,7 +184,8 @@ def redact(docs: DataFrame, b: Bootstrap | None = None) -> DataFrame:
         f"ELSE named_struct('at', x.end, 'out', array_append(a.out, concat(substring(text, a.at + 1, x.start - a.at), {names}[x.kind]))) END"
     )
     text = f"aggregate(spans, named_struct('at', 0, 'out', cast(array() AS array<string>)), {step}, a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"
-    out = keyed.join(spans, "_key", "left").withColumn("text", F.expr(f"CASE WHEN spans IS NULL THEN text ELSE {text} END"))
+    out = keyed.join(spans, "key", "left").withColumn("text", F.expr(f"CASE WHEN spans IS NULL THEN text ELSE {text} END"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
