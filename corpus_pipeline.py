@@ -13,6 +13,10 @@ from linkloom.llm import decontaminate, neardup, packing, pii, quality
 from linkloom.llm.common import materialize, small_batches, table
 
 
+#: Workers serve all stages one after another, so what one stage keeps adds to the memory of the next.
+CACHED_WORDS = 200_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep."""
     small_batches(spark)
@@ -21,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least doc_id of each class of near-duplicates."""
-    small_batches(spark)
+    small_batches(spark, 256)
     return neardup.deduplicated(docs)
 
 
@@ -38,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every text stands in the packed sequences."""
     small_batches(spark)
-    pieces = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = packing.pieces(docs, cached_words=CACHED_WORDS).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(pieces)
 
 

@@ -82,5 +82,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_key: str = "doc_id") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; a null key can't be matched and stays."""
-    bad = contamination(docs, benchmark, threshold, doc_key).select(doc_key).distinct()
+    # Written first, so that the planner knows its size and broadcasts it if it is small instead of shuffling all texts.
+    bad = materialize(contamination(docs, benchmark, threshold, doc_key).select(doc_key).distinct())
     return docs.join(bad, doc_key, "left_anti")

@@ -32,9 +32,9 @@ CLASSES, PATTERN_DOCS = 64, 3
 class _Tokens:
     """A worker's tokeniser. The ids of white-space-bounded chunks are kept up to a bound."""
 
-    _own: dict[str, _Tokens] = {}
+    _own: dict[tuple[str, int], _Tokens] = {}
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,10 +47,10 @@ class _Tokens:
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
 
     @classmethod
-    def get(cls, path: str) -> _Tokens:
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def get(cls, *key) -> _Tokens:
+        if key not in cls._own:
+            cls._own[key] = cls(*key)
+        return cls._own[key]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, as the tokeniser gives for the whole text.
@@ -106,13 +106,13 @@ class _Tokens:
             self.ids[c] = self.ids[w.encode()] + self.ids[tail.encode()]
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cached_words: int = 1_200_000) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit). A worker keeps the ids of up to cached_words words, about 200 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        t = _Tokens.get(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        t = _Tokens.get(tokenizer or public_tokenizers.path("word_bpe_49k.json"), cached_words)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
