@@ -286,6 +286,18 @@ def test_passages(spark):
     assert substring.passages(docs(spark, [])).count() == 0
 
 
+def test_passages_between_own_words(spark):
+    shared = [prose(55, 700 + i) for i in range(6)]
+    rows = [(i, " ".join(f"{x} {prose(20, 1000 * i + j)}" for j, x in enumerate(shared))) for i in (1, 2)]
+    got = {}
+    for r in substring.passages(docs(spark, rows)).collect():
+        assert r["identity"] >= 0.8 and r["end_word"] - r["start_word"] >= 50
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+        got.setdefault(r["other_doc_id"], set()).update(range(r["other_start"], r["other_end"]))
+    for i in (1, 2):
+        assert all(set(range(75 * j, 75 * j + 55)) <= got[i] for j in range(6))
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(3)
     h = r.integers(0, 2**63, 500).astype(np.uint64)
