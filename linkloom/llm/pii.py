@@ -3,7 +3,8 @@
 Fixed kinds (email, ip, card, phone) and long hexadecimal secrets are the seed entities. The two words before an entity are its
 lexical pattern. A pattern that enough distinct seed values support is scored by how often the same two words, anywhere in
 the corpus, stand before an accepted entity; identifier-like tokens take the noisy-or of their patterns' scores; tokens
-scored high enough count as entities in the next round. The rounds run on the bipartite table of patterns and values.
+scored high enough count as entities in the next round. The rounds run on the bipartite table of patterns and values until one
+neither accepts a value nor raises an accepted one's score.
 
 Defined results: a null or empty text has no spans. Rows are judged one by one, so repeated rows repeat their spans; equal starts
 are ordered by kind, then end. An empty table gives an empty table. Extra columns are ignored by ``find`` and kept by ``redact``.
@@ -30,6 +31,8 @@ SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])"
 #: Tokens that may be identifiers: they hold a digit.
 TOKEN = r"(?<![\p{L}\p{N}_.@+-])[\p{L}_.@+-]*+[0-9][\p{L}\p{N}_.@+-]*"
 KINDS = [*BASE, "secret", "context"]
+#: Scores of accepted values that rise by less in all leave the rounds settled.
+SETTLED = 1e-6
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,6 @@ class Bootstrap:
     min_values: int = 5
     min_pattern: float = 0.8
     min_score: float = 0.8
-    rounds: int = 3
     min_token_chars: int = 6
 
 
@@ -127,7 +129,7 @@ def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
     occ = ents.select(F.explode("ents").alias("e")).where("e.context IS NOT NULL")
     graph = materialize(occ.groupBy(F.col("e.context").alias("context"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("e.kind") < 5).alias("seed")))
     # Patterns can gain support from tokens that are accepted later, so all values count towards the support asked for here.
-    wanted = graph.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.count_if("seed").alias("s"), F.sum("n").alias("n")).where((F.col("k") >= b.min_values) & (F.col("s") > 0)).select("context", "n")
+    wanted = graph.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where(F.col("k") >= b.min_values).select("context", "n")
     wanted = materialize(wanted)
     # What texts with entities hold of a pair bounds its score from above: pairs that can't reach min_pattern, like those of
     # common words, needn't be counted in all texts.
@@ -138,7 +140,8 @@ def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
     occurs = materialize(_background(words.select(F.explode(F.expr(_PAIRS)).alias("context")), left))
     graph = graph.join(occurs, "context")
     score = graph.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    for _ in range(b.rounds):
+    state = (-1, 0.0)
+    while True:
         on = graph.join(score, "value")
         accepted = F.col("score") >= b.min_score
         pattern = on.groupBy("context").agg(
@@ -147,6 +150,10 @@ def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
         found = graph.join(pattern, "context").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("s"))
         score = score.join(found.select("value", "s"), "value", "left").select("value", F.greatest("score", F.coalesce("s", F.lit(0.0))).alias("score"))
         score = materialize(score)
+        now = score.where(F.col("score") >= b.min_score).agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if now[0] == state[0] and now[1] <= state[1] + SETTLED:
+            break
+        state = (now[0], now[1])
     seeds = graph.where("seed").select("value").distinct()
     return score.where(F.col("score") >= b.min_score).join(seeds, "value", "left_anti")
 
