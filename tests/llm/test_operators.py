@@ -308,6 +308,31 @@ def test_passages_between_own_words(spark):
         assert all(set(range(75 * j, 75 * j + 55)) <= got[i] for j in range(6))
 
 
+def test_edited_passages_are_found():
+    """Share of random passages with words substituted that one document of two is found to share."""
+    r, p = np.random.default_rng(11), substring.Passages()
+
+    def kept(w):  # shingles' hashes from their words, then the operator's own thinning
+        h = np.array([hash(tuple(w[i : i + substring.SHINGLE_WORDS].tolist())) & 0xFFFFFFFFFFFFFFFF for i in range(len(w) - substring.SHINGLE_WORDS + 1)], np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        keep = substring.winnow(h, np.array([len(h)]))
+        return {int(v): i for i, v in enumerate(h) if keep[i]}
+
+    for words, edited, least in ((60, 0.1, 0.85), (60, 0.15, 0.65), (100, 0.1, 0.95), (100, 0.15, 0.85)):
+        hits = 0
+        for _ in range(200):
+            a, b = r.integers(1, 2**31, 100 + words), r.integers(1, 2**31, 100 + words)
+            b[50 : 50 + words] = a[50 : 50 + words]
+            at = 50 + r.choice(words, int(words * edited), replace=False)
+            b[at] = r.integers(1, 2**31, len(at))
+            x, y = kept(a), kept(b)
+            both = sorted(x.keys() & y.keys(), key=x.get)
+            found = [f for run in substring._runs(np.array([x[h] for h in both], np.int64), np.array([y[h] for h in both], np.int64), p) for f in substring.split(a, b, run[4], run[5], p)]
+            hits += bool(found)
+        print(words, edited, hits / 200)
+        assert hits / 200 >= least, (words, edited, hits / 200)
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(3)
     h = r.integers(0, 2**63, 500).astype(np.uint64)
