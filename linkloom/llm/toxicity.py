@@ -1,22 +1,28 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other training rows are used without their labels, as unlabelled text. A linear
-classifier over the presence of words is trained in numpy by the non-negative, class-prior-corrected risk estimator: the
-risk of the unlabelled rows as negatives, less the part that positives among them account for, is not let fall below 0.
+Confirmed toxic texts are the positives. The unlabelled text is a sample of all documents of the training folds, with a label row or
+without one, and no label of theirs is looked at. A linear classifier over the presence of words is trained in numpy by the non-negative,
+class-prior-corrected risk estimator: the risk of the unlabelled rows as negatives, less the part that positives among them
+account for, is not let fall below 0.
 
-The classifier is fitted on a bounded sample (``max_positive`` and ``max_unlabelled`` training rows, those with the lowest
-hash of their id, and ``max_words`` words); scoring covers every row and every text in full.
+The class prior is estimated from the positives and the unlabelled rows, as label rows may be picked with toxic ones in mind: classifiers of
+positives against unlabelled rows, each scoring the half that it wasn't trained on, give the least ratio of the shares
+of both that score above a limit, at the limit where the ratio's confidence bound is least. The toxic share of label rows bounds it.
+
+The classifier is fitted on a bounded sample: rows whose hash falls under a share that ``max_positive`` and ``max_unlabelled``
+give from the counts of all rows, so no task sorts or holds more than its own, and ``max_words`` words. Scoring covers every row and
+every text in full.
 
 Defined results: a null or empty text has no words and gets the score of the bias alone. Without any positive training row
 the score is 0 for every text. Rows are scored one by one; repeated label rows of a document count once, as toxic if
-any of them is. An empty table gives an empty table; extra columns are ignored.
+any of them is; a null id is never held out, nor learned from. An empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,13 @@ class Training:
     #: Features are words and word stems (first letters) that so many positive documents hold and whose holders are positive
     #: at a rate of min_purity or more by the class prior's estimate; the most telling ones first.
     stems: tuple[int, ...] = (3, 4, 5, 6)
-    min_documents: int = 3
-    min_purity: float = 0.3
+    min_documents: int = 5
+    min_purity: float = 0.4
     max_words: int = 2048
     epochs: int = 2000
+    prior_epochs: int = 300
     rate: float = 0.05
-    l2: float = 1e-5
+    l2: float = 1e-3
     #: Folds by crc32 of the id; fold 0 of five is never learned from.
     folds: int = 5
 
@@ -73,11 +80,12 @@ class Model:
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return (F.crc32(doc_id.cast("string").cast("binary")) % folds) == 0
+    return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % folds) == 0, F.lit(False))
 
 
-def nn_pu(p: list[np.ndarray], u: list[np.ndarray], n_words: int, prior: float, t: Training) -> tuple[np.ndarray, float]:
-    """Weights and bias of the least non-negative PU risk with logistic loss, by Adam on all rows. p, u: each row's word numbers."""
+def nn_pu(p: list[np.ndarray], u: list[np.ndarray], n_words: int, prior: float | None, t: Training) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least non-negative PU risk with logistic loss, by Adam on all rows. p, u: each row's word numbers. Without
+    a prior, of the plain risk that tells p from u."""
 
     def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
@@ -95,7 +103,9 @@ def nn_pu(p: list[np.ndarray], u: list[np.ndarray], n_words: int, prior: float,
 
     for step in range(1, t.epochs + 1):
         (_, g_pos), (r_neg, g_neg), (r_unl, g_unl) = slope(0, 1), slope(0, -1), slope(1, -1)
-        if r_unl - prior * r_neg >= 0:
+        if prior is None:
+            g = 0.5 * g_pos + 0.5 * g_unl
+        elif r_unl - prior * r_neg >= 0:
             g = prior * g_pos + g_unl - prior * g_neg
         else:  # the estimate went below 0: step back along it
             g = prior * g_neg - g_unl
@@ -106,17 +116,46 @@ def nn_pu(p: list[np.ndarray], u: list[np.ndarray], n_words: int, prior: float,
     return w, float(b)
 
 
+def class_prior(p: list[np.ndarray], u: list[np.ndarray], n_words: int, most: float, t: Training) -> float:
+    """Share of positives among the rows u, ``most`` at most."""
+    if min(len(p), len(u)) < 4:
+        return most
+    plain = replace(t, epochs=t.prior_epochs)
+    scores: list[list[float]] = [[], []]
+    for half in (0, 1):
+        w, _ = nn_pu(p[half::2], u[half::2], n_words, None, plain)
+        for own, rows in zip(scores, (p[1 - half :: 2], u[1 - half :: 2])):
+            own += [float(w[r].sum()) for r in rows]
+    a, b = (np.sort(np.array(x)) for x in scores)
+    limits = np.unique(a)
+    above_p, above_u = (1 - np.searchsorted(x, limits) / len(x) for x in (a, b))
+    doubt = sum(np.sqrt(np.log(4 / 0.1) / (2 * len(x))) for x in (a, b))
+    best = int(np.argmin((above_u + doubt) / above_p))
+    return float(min(most, max(above_u[best] / above_p[best], 1 / len(u))))
+
+
+def _share(most: int, n: int, seed: int) -> Column:
+    """Does a row belong to a sample of about ``most`` of n rows, by the hash of its id?"""
+    if n <= most:
+        return F.lit(True)
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30))
+
+
 def fit(documents: DataFrame, labels: DataFrame, t: Training | None = None) -> Model:
-    """Only ids, hidden or confirmed toxicity and texts of training rows are read."""
+    """Of labels, toxicity of training rows is read; of documents, ids and texts."""
     t = t or Training()
-    truth = labels.where(~held_out(F.col("doc_id"), t.folds)).groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    share = truth.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    prior = float(share["p"] or 0.0)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    sample = truth.where("toxic = 1").orderBy(*order).limit(t.max_positive).select("doc_id", F.lit(1).alias("s")).unionByName(truth.orderBy(*order).limit(t.max_unlabelled).select("doc_id", F.lit(0).alias("s")))
-    flags = sample.groupBy("doc_id").agg(F.max(F.col("s") == 1).alias("p"), F.max(F.col("s") == 0).alias("u"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(flags), "doc_id").select("text", "p", "u", "doc_id").repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    texts = materialize(texts.mapInArrow(_features_of(t.stems), "doc_id long, p boolean, u boolean, words array<string>"))
+    truth = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), t.folds)).groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    known = truth.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("p")).first()
+    prior = known["p"] / known["n"] if known["n"] else 0.0
+    own = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), t.folds))
+    n_own = own.count()
+    # About max_positive rows at most: broadcast.
+    positive = truth.where(F.col("toxic") == 1).where(_share(t.max_positive, known["p"], 1)).select("doc_id", F.lit(True).alias("p"))
+    flagged = own.withColumn("u", _share(t.max_unlabelled, n_own, 2)).join(F.broadcast(positive), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False)))
+    # Copies of a text would make its words look telling: each text counts once.
+    once = flagged.where("p OR u").withColumn("text", F.coalesce("text", F.lit(""))).groupBy("text").agg(F.max("p").alias("p"), F.max("u").alias("u"), F.min("doc_id").alias("doc_id"))
+    texts = once.repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    texts = materialize(texts.mapInArrow(_features_of(t.stems), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, p boolean, u boolean, words array<string>"))
     n_p, n_u = texts.agg(F.count_if("p"), F.count_if("u")).first()
     if not n_p or not n_u:
         return Model({}, np.zeros(0), -50.0, prior)
@@ -126,12 +165,13 @@ def fit(documents: DataFrame, labels: DataFrame, t: Training | None = None) -> M
     top = by.where((F.col("np") >= min(t.min_documents, n_p)) & ((F.col("nu") == 0) | (purity >= t.min_purity))).withColumn("g", F.abs(gain) * F.sqrt("np")).orderBy(F.desc("g"), "w").limit(t.max_words)
     vocabulary = {r["w"]: i for i, r in enumerate(top.select("w").collect())}
     known = documents.sparkSession.createDataFrame([(w, i) for w, i in vocabulary.items()] or [("", 0)], "w string, i int")
-    rows = texts.select("doc_id", "p", "u", F.explode("words").alias("w")).join(F.broadcast(known), "w").groupBy("doc_id", "p", "u").agg(F.sort_array(F.collect_list("i")).alias("i")).orderBy("doc_id").collect()
+    rows = texts.select("doc_id", "p", "u", F.explode("words").alias("w")).join(F.broadcast(known), "w").groupBy("doc_id", "p", "u").agg(F.sort_array(F.collect_set("i")).alias("i")).orderBy("doc_id").collect()
     drop_table(texts)
     sets = []
     for flag, n in (("p", n_p), ("u", n_u)):
         found = [np.array(r["i"], np.int64) for r in rows if r[flag]]
         sets.append(found + [np.zeros(0, np.int64)] * (n - len(found)))
+    prior = class_prior(*sets, len(vocabulary), prior, t)
     weights, bias = nn_pu(*sets, len(vocabulary), prior, t)
     return Model(vocabulary, weights, bias, prior, t.stems)
 
@@ -146,7 +186,7 @@ def _features_of(stems: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, p, u, doc = batch.columns
-            yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), p, u, pa.array([features(x, stems) for x in text.to_pylist()], pa.list_(pa.string()))], ["doc_id", "p", "u", "words"])
+            yield pa.RecordBatch.from_arrays([doc, p, u, pa.array([features(x, stems) for x in text.to_pylist()], pa.list_(pa.string()))], ["doc_id", "p", "u", "words"])
 
     return run
 
