@@ -45,7 +45,9 @@ class Training:
     min_purity: float = 0.4
     max_words: int = 2048
     epochs: int = 2000
+    #: For the prior: rounds, and by how many standard deviations the positives that hold a word exceed chance.
     prior_epochs: int = 300
+    clear: float = 4.0
     rate: float = 0.05
     l2: float = 1e-3
     #: Folds by crc32 of the id; fold 0 of five is never learned from.
@@ -163,7 +165,8 @@ def fit(documents: DataFrame, labels: DataFrame, t: Training | None = None) -> M
     gain = F.log((F.col("np") + 0.5) / n_p) - F.log((F.col("nu") + 0.5) / n_u)
     purity = prior * (F.col("np") / n_p) / (F.col("nu") / n_u)
     top = by.where((F.col("np") >= min(t.min_documents, n_p)) & ((F.col("nu") == 0) | (purity >= t.min_purity))).withColumn("g", F.abs(gain) * F.sqrt("np")).orderBy(F.desc("g"), "w").limit(t.max_words)
-    vocabulary = {r["w"]: i for i, r in enumerate(top.select("w").collect())}
+    listed = top.select("w", "np", "nu").collect()
+    vocabulary = {r["w"]: i for i, r in enumerate(listed)}
     known = documents.sparkSession.createDataFrame([(w, i) for w, i in vocabulary.items()] or [("", 0)], "w string, i int")
     rows = texts.select("doc_id", "p", "u", F.explode("words").alias("w")).join(F.broadcast(known), "w").groupBy("doc_id", "p", "u").agg(F.sort_array(F.collect_set("i")).alias("i")).orderBy("doc_id").collect()
     drop_table(texts)
@@ -171,11 +174,24 @@ def fit(documents: DataFrame, labels: DataFrame, t: Training | None = None) -> M
     for flag, n in (("p", n_p), ("u", n_u)):
         found = [np.array(r["i"], np.int64) for r in rows if r[flag]]
         sets.append(found + [np.zeros(0, np.int64)] * (n - len(found)))
-    prior = class_prior(*sets, len(vocabulary), prior, t)
+    n, seen = np.array([r["np"] for r in listed], float), np.maximum(1, np.array([r["nu"] for r in listed], float))
+    by_chance = n_p * seen / n_u
+    clear = n - by_chance >= t.clear * np.sqrt(by_chance)
+    prior = class_prior(*_only(sets, clear), int(clear.sum()), prior, t) if clear.any() else prior
+    # What the prior's upper bound let in goes if the estimate doesn't.
+    pure = prior * (n / n_p) / (seen / n_u) >= t.min_purity
+    sets, place = _only(sets, pure), np.cumsum(pure) - 1
+    vocabulary = {w: int(place[i]) for w, i in vocabulary.items() if pure[i]}
     weights, bias = nn_pu(*sets, len(vocabulary), prior, t)
     return Model(vocabulary, weights, bias, prior, t.stems)
 
 
+def _only(sets: list[list[np.ndarray]], kept: np.ndarray) -> list[list[np.ndarray]]:
+    """Rows with the word numbers that are kept, numbered anew."""
+    place = np.cumsum(kept) - 1
+    return [[place[r[kept[r]]] for r in rows] for rows in sets]
+
+
 def features(text: str | None, stems: tuple[int, ...]) -> list[str]:
     """Words, marked by a dollar sign, and word stems that a text holds."""
     words = set(WORD.findall((text or "").lower()))
