@@ -1,11 +1,17 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped contexts.
 
-Fixed kinds (email, ip, card, phone) and long hexadecimal secrets are the seed entities. The two words before an entity are its
-lexical pattern. A pattern that enough distinct seed values support is scored by how often the same two words, anywhere in
-the corpus, stand before an accepted entity; identifier-like tokens take the noisy-or of their patterns' scores; tokens
-scored high enough count as entities in the next round. The rounds run on the bipartite table of patterns and values until one
+Seed entities are the fixed kinds (email, ip, card, phone) and a quarter, by hash, of the values of secret shape (long hexadecimal runs).
+Other values of secret shape and other tokens with a digit are instances that patterns may discover; what a fixed kind's check
+refuted (a card number failing Luhn's test) is none, but counts against patterns. The lexical patterns of a token are
+its two words before it, the word before it with the word after it, and the word before it with the token's shape. A pattern
+that enough distinct accepted values, and enough of its instances, support is scored by the share that instances have of its
+occurrences: anywhere in the corpus, with whatever word, for patterns of words, among tokens of its shape for the others. Tokens
+take the noisy-or of their patterns' scores; those scored high enough count as entities in the next round. The rounds run on the bipartite table of patterns and values until one
 neither accepts a value nor raises an accepted one's score.
 
+Spans of discovered tokens are of kind context, those of seeds of their own kind. Values of secret shape that no pattern finds are
+reported as secret all the same: the patterns decide what they are called, never whether they are masked.
+
 Defined results: a null or empty text has no spans. Rows are judged one by one, so repeated rows repeat their spans; equal starts
 are ordered by kind, then end. An empty table gives an empty table. Extra columns are ignored by ``find`` and kept by ``redact``.
 Starts and ends are code points, the end is exclusive.
@@ -31,6 +37,8 @@ SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])"
 #: Tokens that may be identifiers: they hold a digit.
 TOKEN = r"(?<![\p{L}\p{N}_.@+-])[\p{L}_.@+-]*+[0-9][\p{L}\p{N}_.@+-]*"
 KINDS = [*BASE, "secret", "context"]
+#: Numbers of the kinds beyond the fixed ones; the last two never leave this module.
+SECRET_KIND, TOKEN_KIND, UNSEEN_SECRET, REFUTED = 4, 5, 6, 7
 #: Scores of accepted values that rise by less in all leave the rounds settled.
 SETTLED = 1e-6
 
@@ -38,9 +46,13 @@ SETTLED = 1e-6
 @dataclass(frozen=True)
 class Bootstrap:
     min_values: int = 5
+    #: Least share of a pattern's occurrences that are instances, and of those that are accepted.
     min_pattern: float = 0.8
+    min_known: float = 0.1
     min_score: float = 0.8
     min_token_chars: int = 6
+    #: One value in so many of secret shape is a seed.
+    seed_one_in: int = 4
 
 
 def _spans(text: str, found: str, regex: str, kind: int) -> str:
@@ -69,6 +81,10 @@ VALID = {
 }
 
 
+#: Of matches that fail, those that look like the kind but for its check.
+LIKE = {"ip": "true", "card": "length(regexp_replace(x.value, '[ -]', '')) BETWEEN 12 AND 19"}
+
+
 def _raw_matches(docs: DataFrame, tokens: bool) -> DataFrame:
     text = F.col("text")
     none = F.expr("cast(array() AS array<string>)")
@@ -90,65 +106,96 @@ def _located(docs: DataFrame, tokens: bool) -> DataFrame:
     parts = []
     for k, name in enumerate(BASE):
         parts.append(f"filter({_spans('text', f'm_{name}', BASE[name], k)}, x -> {VALID[name]})")
-    return docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(parts)}))"))
+    docs = docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(parts)}))"))
+    if not tokens:
+        return docs
+    failed = [f"filter({_spans('text', f'm_{name}', BASE[name], k)}, x -> {LIKE[name]} AND NOT ({VALID[name]}))" for k, name in enumerate(BASE) if name in LIKE]
+    return docs.withColumn("refuted", F.expr(f"concat({', '.join(failed)})"))
 
 
-def _context(start: str) -> str:
-    """SQL: a hash of the two words before a place, null where there are fewer within 64 characters."""
+def _patterns(start: str, end: str, value: str) -> str:
+    """SQL: hashes of a token's patterns. Words within 64 characters count; up to three other characters may stand between."""
     before = f"substring(text, greatest(1, {start} - 63), least({start}, 64))"
-    words = f"regexp_extract({before}, r'(\\S+\\s+\\S+)\\s+\\S{{0,3}}$', 1)"
-    return f"CASE WHEN {words} = '' THEN NULL ELSE xxhash64(lower(split({words}, r'\\s+')[0]), lower(split({words}, r'\\s+')[1])) END"
+    left = f"regexp_extract({before}, r'(\\S+\\s+\\S+)\\s+\\S{{0,3}}$', 1)"
+    last = f"regexp_extract({before}, r'(\\S+)\\s+\\S{{0,3}}$', 1)"
+    after = f"regexp_extract(substring(text, {end} + 1, 64), r'^\\S{{0,3}}\\s+(\\S+)', 1)"
+    runs = f"regexp_replace(regexp_replace(lower({value}), r'\\p{{L}}+', 'a'), '[0-9]+', '9')"
+    shape = f"concat(CASE WHEN length({runs}) <= 12 THEN {runs} ELSE 'mixed' END, floor(log2(length({value}))))"
+    return (
+        "array_compact(array("
+        f"CASE WHEN {left} != '' THEN {_hash('before', f"lower(split({left}, r'\\s+')[0])", f"lower(split({left}, r'\\s+')[1])")} END, "
+        f"CASE WHEN {last} != '' AND {after} != '' THEN {_hash('around', f'lower({last})', f'lower({after})')} END, "
+        f"CASE WHEN {last} != '' THEN {_hash('shape', f'lower({last})', shape)} END))"
+    )
+
+
+def _hash(kind: str, a: str, b: str) -> str:
+    """SQL: a pattern's hash. Patterns of words, which all texts can hold, are even, those of shapes odd."""
+    low = "| 1L" if kind == "shape" else "& -2L"
+    return f"(xxhash64('{kind}', {a}, {b}) {low})"
 
 
 def candidates(docs: DataFrame, keys: list[str], b: Bootstrap) -> DataFrame:
-    """keys, base spans, and ents: seeds and identifier-like tokens outside of them, with value and context hashes."""
+    """keys, base spans, ents (seeds, tokens that may be identifiers, refuted ones, each with value and pattern hashes) and pairs (hashes
+    of all patterns of words in the texts with any)."""
     located = _located(docs.select(*keys, "text"), tokens=True)
-    secret = f"filter({_spans('text', 'm_secret', SECRET, 4)}, s -> NOT exists(base, x -> x.start < s.end AND s.start < x.end))"
-    token = f"{_spans('text', 'm_token', TOKEN, 5)}"
+    secret = f"filter({_spans('text', 'm_secret', SECRET, SECRET_KIND)}, s -> NOT exists(base, x -> x.start < s.end AND s.start < x.end))"
+    secret = f"transform({secret}, s -> named_struct('start', s.start, 'kind', CASE WHEN pmod(xxhash64(lower(s.value)), {b.seed_one_in}) = 0 THEN {SECRET_KIND} ELSE {UNSEEN_SECRET} END, 'end', s.end, 'value', s.value))"
+    token = f"{_spans('text', 'm_token', TOKEN, TOKEN_KIND)}"
     located = located.withColumn("secret", F.expr(secret)).withColumn("token", F.expr(token))
     seeds = located.withColumn("seeds", F.expr("concat(base, secret)"))
     ok = f"length(t.value) >= {b.min_token_chars} AND NOT exists(seeds, x -> x.start < t.end AND t.start < x.end)"
-    seeds = seeds.withColumn("free", F.expr(f"filter(token, t -> {ok})"))
-    ent = f"transform(concat(seeds, free), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', xxhash64(lower(x.value)), 'context', {_context('x.start')}))"
+    kind = f"CASE WHEN exists(refuted, x -> x.start < t.end AND t.start < x.end) THEN {REFUTED} ELSE t.kind END"
+    free = f"transform(filter(token, t -> {ok}), t -> named_struct('start', t.start, 'kind', {kind}, 'end', t.end, 'value', t.value))"
+    seeds = seeds.withColumn("free", F.expr(free))
+    ent = f"transform(concat(seeds, free), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', xxhash64(lower(x.value)), 'patterns', {_patterns('x.start', 'x.end', 'x.value')}))"
     words = F.when(F.size("seeds") + F.size("free") > 0, F.split("text", r"\s+")).otherwise(F.expr("cast(array() AS array<string>)"))
     found = seeds.select(*keys, F.expr("transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))").alias("base"), F.expr(ent).alias("ents"), words.alias("w"))
     return found.withColumn("pairs", F.expr(_PAIRS)).drop("w")
 
 
-#: SQL: hashes of every two words that another follows.
-_PAIRS = "CASE WHEN size(w) > 2 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(lower(w[i]), lower(w[i + 1]))) ELSE cast(array() AS array<bigint>) END"
+#: SQL: hashes of every two words that another follows, and of every two words around another.
+_PAIRS = (
+    f"CASE WHEN size(w) > 2 THEN flatten(transform(sequence(0, size(w) - 3), i -> array({_hash('before', 'lower(w[i])', 'lower(w[i + 1])')}, {_hash('around', 'lower(w[i])', 'lower(w[i + 2])')}))) "
+    "ELSE cast(array() AS array<bigint>) END"
+)
 
 
 def _background(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each wanted pair of words occurs in rows of (context)."""
+    """How often each wanted pattern occurs in rows of (context)."""
     return pairs.join(contexts, "context").groupBy("context").agg(F.count(F.lit(1)).alias("occurs"))
 
 
 def learn(docs: DataFrame, ents: DataFrame, b: Bootstrap) -> DataFrame:
     """Values (hashes) of tokens that confident patterns single out, with their score."""
-    occ = ents.select(F.explode("ents").alias("e")).where("e.context IS NOT NULL")
-    graph = materialize(occ.groupBy(F.col("e.context").alias("context"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("e.kind") < 5).alias("seed")))
+    occ = ents.select(F.explode("ents").alias("e")).select("e.value", "e.kind", F.explode("e.patterns").alias("context"))
+    graph = materialize(occ.groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") <= SECRET_KIND).alias("seed"), F.max(F.col("kind") == REFUTED).alias("refuted")))
     # Patterns can gain support from tokens that are accepted later, so all values count towards the support asked for here.
-    wanted = graph.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where(F.col("k") >= b.min_values).select("context", "n")
-    wanted = materialize(wanted)
-    # What texts with entities hold of a pair bounds its score from above: pairs that can't reach min_pattern, like those of
-    # common words, needn't be counted in all texts.
-    some = _background(ents.select(F.explode("pairs").alias("context")), wanted.select("context"))
+    able = F.when(~F.col("refuted"), F.col("n"))
+    wanted = graph.groupBy("context").agg(F.count(able).alias("k"), F.sum(able).alias("n"), F.sum("n").alias("here")).where(F.col("k") >= b.min_values)
+    wanted = materialize(wanted.where(F.col("n") >= b.min_pattern * F.col("here")).select("context", "n", "here"))
+    shapes, pairs = F.col("context") % 2 != 0, F.col("context") % 2 == 0
+    # What texts with entities hold of a pattern of words bounds its score from above: those that can't reach min_pattern, like
+    # those of common words, needn't be counted in all texts.
+    some = _background(ents.select(F.explode("pairs").alias("context")), wanted.where(pairs).select("context"))
     left = materialize(wanted.join(some, "context").where(F.col("n") >= b.min_pattern * F.col("occurs")).select("context"))
     words = docs.select(F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
     # Exploded without a name in between: a filter on a named array would be pushed below the split and repeat it for every word.
-    occurs = materialize(_background(words.select(F.explode(F.expr(_PAIRS)).alias("context")), left))
+    occurs = _background(words.select(F.explode(F.expr(_PAIRS)).alias("context")), left)
+    occurs = materialize(occurs.unionAll(wanted.where(shapes).select("context", F.col("here").alias("occurs"))))
     graph = graph.join(occurs, "context")
-    score = graph.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
+    # A value that a check refuted anywhere is never accepted.
+    refuted = graph.groupBy("value").agg(F.max("seed").alias("s"), F.max("refuted").alias("refuted")).where("refuted AND NOT s").select("value")
+    score = graph.join(refuted, "value", "left_anti").groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     state = (-1, 0.0)
     while True:
         on = graph.join(score, "value")
         accepted = F.col("score") >= b.min_score
-        pattern = on.groupBy("context").agg(
-            F.count_if(accepted).alias("values"), (F.sum(F.when(accepted, F.col("n") * F.col("score")).otherwise(0.0)) / F.max("occurs")).alias("p")
-        ).where((F.col("values") >= b.min_values) & (F.col("p") >= b.min_pattern)).select("context", F.least("p", F.lit(1.0)).alias("p"))
-        found = graph.join(pattern, "context").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("s"))
-        score = score.join(found.select("value", "s"), "value", "left").select("value", F.greatest("score", F.coalesce("s", F.lit(0.0))).alias("score"))
+        known = F.sum(F.when(accepted, F.col("n")).otherwise(F.lit(0).cast("long"))) / F.sum("n")
+        pattern = on.groupBy("context").agg(F.count_if(accepted).alias("values"), known.alias("known"), (F.sum("n") / F.max("occurs")).alias("p"))
+        pattern = pattern.where((F.col("values") >= b.min_values) & (F.col("known") >= b.min_known) & (F.col("p") >= b.min_pattern)).select("context", F.least("p", F.lit(1.0)).alias("p"))
+        found = graph.join(pattern, "context").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("s"))
+        score = score.join(found, "value", "left").select("value", F.greatest("score", F.coalesce("s", F.lit(0.0))).alias("score"))
         score = materialize(score)
         now = score.where(F.col("score") >= b.min_score).agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
         if now[0] == state[0] and now[1] <= state[1] + SETTLED:
@@ -163,9 +210,12 @@ def find(docs: DataFrame, b: Bootstrap | None = None, keys: tuple[str, ...] = ("
     b = b or Bootstrap()
     ents = materialize(candidates(docs, list(keys), b).withColumn("_row", F.monotonically_increasing_id()))
     values = learn(docs, ents, b)
-    secrets = "transform(filter(ents, x -> x.kind = 4), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    free = ents.select("_row", F.explode(F.expr("filter(ents, x -> x.kind = 5)")).alias("e")).select("_row", "e.*")
-    extra = free.join(values.select("value"), "value").groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
+    place = "named_struct('start', x.start, 'kind', x.kind, 'end', x.end)"
+    secrets = f"transform(filter(ents, x -> x.kind = {SECRET_KIND}), x -> {place})"
+    open_ = ents.select("_row", F.explode(F.expr(f"filter(ents, x -> x.kind IN ({TOKEN_KIND}, {UNSEEN_SECRET}))")).alias("e")).select("_row", "e.start", "e.kind", "e.end", "e.value")
+    named = open_.join(values.select("value", F.lit(True).alias("hit")), "value", "left").where(f"hit OR kind = {UNSEEN_SECRET}")
+    named = named.withColumn("kind", F.when(F.col("hit"), TOKEN_KIND).otherwise(SECRET_KIND))
+    extra = named.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
     none = "cast(array() AS array<struct<start:int,kind:int,end:int>>)"
     return ents.join(extra, "_row", "left").select(*keys, "base", F.expr(f"array_sort(concat(base, {secrets}, coalesce(extra, {none})))").alias("spans"))
 

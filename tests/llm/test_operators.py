@@ -147,6 +147,32 @@ def test_contexts_discover_identifiers(spark):
     assert masked[20]["text"] == "her staff number [CONTEXT] is" and masked[24]["text"] is None and masked[0]["text"] == "some words 0 here staff number [EMAIL] and more" and masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+def test_planted_identifiers(spark):
+    """Identifiers behind induced patterns of words, around them and of their shape; look-alikes elsewhere and refuted numbers stay."""
+    r, rows, planted, decoys = random.Random(21), [], {}, {}
+    for i in range(240):
+        code = f"{r.choice('QXZ')}{r.choice('KLM')}-{r.randint(100000, 999999)}"
+        value = f"{prose(1, 9000 + i)}{i}@mail.example.com" if i % 3 == 0 else code
+        lead, tail = [(f"patient record {value} was", 1), (f"{prose(1, 8000 + i)} owner {value} signed", 2), (f"{prose(1, 8500 + i)} mailto: {value} {prose(1, 8700 + i)}", 3)][i % 9 // 3]
+        text = f"{prose(20, i)} {lead} {prose(10, 500 + i)}"
+        rows.append((i, text))
+        if i % 3 and tail < 3:
+            planted[i] = (text.index(value), text.index(value) + len(value))
+    for i in range(300, 360):
+        value = f"{r.choice('QXZ')}{r.choice('KLM')}-{r.randint(100000, 999999)}" if i % 2 else "4111111111111112"
+        rows.append((i, f"{prose(20, i)} {value} {prose(10, 500 + i)}"))
+        decoys[i] = value
+    for i in range(400, 440):  # secrets: a quarter by hash are seeds, the others are found behind the same words
+        rows.append((i, f'{prose(9, i)} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(5, i + 50)}'))
+    got = {x["doc_id"]: x["spans"] for x in pii.digest(pii.find(docs(spark, rows))).collect()}
+    hits = sum(f"context:{a}:{b}" in got[i].split(",") for i, (a, b) in planted.items())
+    assert hits / len(planted) >= 0.9, (hits, len(planted))
+    assert not any(got[i] for i in decoys)
+    kinds = [got[i].split(":")[0] for i in range(400, 440)]
+    assert set(kinds) == {"secret", "context"} and kinds.count("context") > kinds.count("secret")
+    assert all(got[i].count(":") == 2 for i in range(400, 440))
+
+
 def test_contexts_learned_from_accepted_values(spark):
     rows = [(i, f"some words {i} here staff number u{i}@x.example.com and more") for i in range(200)]
     for g, (old, new) in enumerate([("staff number", "badge id"), ("badge id", "locker tag"), ("locker tag", "depot slot"), ("depot slot", "crate mark")]):
