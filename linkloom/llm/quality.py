@@ -2,11 +2,17 @@
 
 Two public vocabularies measure every text: a byte-level BPE gives characters per token and the entropy of the
 token distribution, a piece BPE with byte fallback gives the share of pieces that fell back to single bytes.
-A text is rejected where a measure leaves the band of its language (or, where the language has none, of its script).
+A text is rejected where a measure leaves the band of its language (or, where the language has too few rows, of its script).
+
+Bands come from the spread of ordinary texts, over all rows: those that pass the base rule. Their lower limit lies below the median
+by so many times the distance from the median up to the ninth decile, their upper limit above it by so many times the distance down to
+the first decile. So a third of all rows that are junk on one side widens the band on the other side only. Entropy grows with a text's
+length: it has a band, from below, for each language and power of two of tokens. Languages and scripts with too few rows keep to the
+fixed limits. Quantiles are merged from digests of bounded size.
 
 Defined results: a null or empty text has no words, so it fails the base rule (fewer than 50 words); measures of a
-text without tokens are 0 and reject nothing by themselves. Rows are judged one by one, so repeated rows and ties
-give the same verdict each, an empty table gives an empty table, and other columns are carried or ignored as asked.
+text without tokens are 0 and reject nothing by themselves. Repeated rows and ties give the same verdict each, an empty table gives an
+empty table, and other columns are carried or ignored as asked.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import materialize
+
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
@@ -29,23 +37,26 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 @dataclass(frozen=True)
 class Band:
-    """Limits, ends included; entropy is in bits, divided by the most that the text's length allows."""
+    """Fixed limits, ends included, that hold besides those from the spread; entropy is in bits, divided by the most that the text's length allows."""
 
-    chars_per_token: tuple[float, float] = (2.0, 12.0)
+    chars_per_token: tuple[float, float] = (1.0, 12.0)
     byte_share: float = 0.10
-    entropy: tuple[float, float] = (0.35, 1.0)
+    entropy: tuple[float, float] = (0.30, 1.0)
 
 
 @dataclass(frozen=True)
 class FertilityRules:
-    """Bands by language, then by script. Fixed parameters: a text's verdict doesn't depend on the other texts."""
-
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
     pieces: str = "piece_bpe_32k.model"
     min_words: int = 50
     max_repeat_percent: int = 50
-    by_language: dict[str, Band] = field(default_factory=lambda: {"en": Band(), "de": Band(), "fr": Band(), "es": Band()})
-    by_script: dict[str, Band] = field(default_factory=lambda: {"latin": Band((1.5, 12.0), 0.10, (0.30, 1.0)), "cyrillic": Band((0.8, 12.0), 0.15), "cjk": Band((0.25, 4.0), 0.60), "other": Band((0.25, 12.0), 0.90)})
+    by_script: dict[str, Band] = field(default_factory=lambda: {"latin": Band(), "cyrillic": Band((0.8, 12.0), 0.15), "cjk": Band((0.25, 4.0), 0.60), "other": Band((0.25, 12.0), 0.90)})
+    #: Limits from the spread of ordinary texts, in distances from the median to the deciles, and rows that a band is taken from at least.
+    below: float = 3.0
+    above: float = 4.0
+    min_rows: int = 50
+    #: Bands up to this number are broadcast.
+    few_bands: int = 100_000
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -168,34 +179,68 @@ def _schema(given: pa.Schema) -> pa.Schema:
     return pa.schema([*list(given)[1:], *((n, kinds[k]) for n, k in (x.split() for x in MEASURES.split(", ")))])
 
 
+def _failed(rules: FertilityRules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+
+
+def _keys() -> dict[str, Column]:
+    """What bands are looked up by: language and script, alone and with the power of two of tokens."""
+    size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("string")
+    names = {"lang": F.concat(F.lit("lang:"), F.lower(F.col("lang"))), "script": F.concat(F.lit("script:"), F.col("script"))}
+    return names | {f"{k}_size": F.concat(v, F.lit(":"), size) for k, v in names.items()}
+
+
+def bands(measured: DataFrame, rules: FertilityRules | None = None) -> DataFrame:
+    """band (a key) and its limits low_chars, high_chars, low_bits: from all rows that pass the base rule."""
+    rules = rules or FertilityRules()
+    ordinary = measured.where((F.col("n_tokens") > 0) & ~_failed(rules))
+    own = ordinary.select(F.explode(F.array_compact(F.array(*_keys().values()))).alias("band"), "chars_per_token", _bits().alias("bits"))
+    deciles = lambda c: F.percentile_approx(c, [0.1, 0.5, 0.9], 10_000)
+    per = own.groupBy("band").agg(deciles("chars_per_token").alias("c"), deciles("bits").alias("e"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.min_rows)
+    low = lambda q: q[1] - rules.below * (q[2] - q[1])
+    high = F.col("c")[1] + rules.above * (F.col("c")[1] - F.col("c")[0])
+    return per.select("band", low(F.col("c")).alias("low_chars"), high.alias("high_chars"), low(F.col("e")).alias("low_bits"))
+
+
+def _bits() -> Column:
+    return F.col("entropy") * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+
+
 def judge(measured: DataFrame, rules: FertilityRules | None = None) -> DataFrame:
-    """Adds base_failed, band (whose limits hold), reject_reason (null if kept) and kept."""
+    """Adds base_failed, band (whose limits hold), reject_reason (null if kept) and kept. ``measured`` is read twice: give a written table."""
     rules = rules or FertilityRules()
-    bands = [(F.lower("lang") == k, k, b) for k, b in rules.by_language.items()] + [(F.col("script") == k, k, b) for k, b in rules.by_script.items()]
-    band, limits = F.lit("none"), F.lit(None)
-    reason = F.lit(None).cast("string")
-    for test, name, b in reversed(bands):
-        own = (
-            F.when(F.col("n_tokens") == 0, F.lit(None).cast("string"))
-            .when(~F.col("chars_per_token").between(*b.chars_per_token), "characters per token")
+    limits = materialize(bands(measured, rules))
+    few = limits.count() <= rules.few_bands
+    out, found = measured, {}
+    for k, key in _keys().items():
+        side = limits.select(F.col("band").alias(f"_{k}"), F.struct("band", "low_chars", "high_chars", "low_bits").alias(f"_of_{k}"))
+        out = out.withColumn(f"_{k}", key).join(F.broadcast(side) if few else side, f"_{k}", "left")
+        found[k] = F.col(f"_of_{k}")
+    own, sized = F.coalesce(found["lang"], found["script"]), F.coalesce(found["lang_size"], found["script_size"])
+    fixed = F.lit(None).cast("string")
+    for name, b in rules.by_script.items():
+        reason = (
+            F.when(~F.col("chars_per_token").between(*b.chars_per_token), "characters per token")
             .when(F.col("byte_share") > b.byte_share, "byte fallback")
             .when((F.col("n_tokens") > 1) & ~F.col("entropy").between(*b.entropy), "token entropy")
         )
-        band, reason = F.when(test, name).otherwise(band), F.when(test, own).otherwise(reason)
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    out = measured.withColumns({"base_failed": failed, "band": band, "reject_reason": F.when(failed, "base rule").otherwise(reason)})
-    return out.withColumn("kept", F.col("reject_reason").isNull())
+        fixed = F.when(F.col("script") == name, reason).otherwise(fixed)
+    spread = F.when(~F.col("chars_per_token").between(own["low_chars"], own["high_chars"]), "characters per token").when(_bits() < sized["low_bits"], "token entropy")
+    failed = _failed(rules)
+    why = F.when(failed, "base rule").when(F.col("n_tokens") > 0, F.coalesce(fixed, spread))
+    out = out.withColumns({"base_failed": failed, "band": F.coalesce(own["band"], F.lit("none")), "reject_reason": why})
+    return out.drop(*(f"_{k}" for k in found), *(f"_of_{k}" for k in found)).withColumn("kept", F.col("reject_reason").isNull())
 
 
 def quality(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir: str | None = None) -> DataFrame:
     """Measures and verdict of every row of documents(doc_id, text, lang)."""
-    return judge(measure(docs, rules, tokenizer_dir), rules)
+    return judge(materialize(measure(docs, rules, tokenizer_dir)), rules)
 
 
 def kept_rows(docs: DataFrame, rules: FertilityRules | None = None, tokenizer_dir: str | None = None) -> DataFrame:
-    """The rows whose text is kept, with all their columns; one pass, without a join."""
+    """The rows whose text is kept, with all their columns; without a shuffle of texts."""
     columns = [c for c in docs.columns if c != "text"]
-    lang = "lang" if "lang" in columns else None
-    own = docs.select(F.struct(*columns).alias("_row"), F.col("lang").alias("lang") if lang else F.lit(None).cast("string").alias("lang"), "text", F.col("text").alias("_text"))
-    judged = judge(measure(own, rules, tokenizer_dir, keep=("_row", "_text", "lang")), rules)
-    return judged.where("kept").select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.{c}") for c in docs.columns))
+    lang = F.col("lang") if "lang" in columns else F.lit(None).cast("string")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), lang.alias("lang"), "text", F.col("text").alias("_text"))
+    judged = judge(materialize(measure(own, rules, tokenizer_dir, keep=("_row", "_text", "lang"))), rules)
+    return judged.where("kept").select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

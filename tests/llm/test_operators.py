@@ -58,12 +58,45 @@ def test_quality(spark, texts):
 
 
 def test_quality_bands(spark):
-    words = [w.upper() for w in prose(80, 1).split()]
-    junk, fine = " ".join(w + "$$$" for w in words), prose(80, 2)
-    fallback = " ".join("\U0001f9ff\U0001faa0" for _ in range(60))
-    rows = {r["doc_id"]: r for r in quality.quality(docs(spark, [(1, junk), (3, fallback)])).collect()}
-    assert rows[1]["reject_reason"] == "characters per token" and rows[3]["byte_share"] > 0.5 and not rows[3]["kept"]
-    assert fine
+    fallback = " ".join(chr(0x1F900 + i) + chr(0x1FA00 + i) for i in range(60))
+    good = {i: prose(60 + i % 90, 3000 + i) for i in range(120)}
+    # A third of all rows is junk of one kind; some tables stand among prose.
+    junk = {1000 + i: " ".join(w + "$$$" for w in prose(60 + i, 4000 + i).upper().split()) for i in range(60)}
+    tables = {2000 + i: " | ".join(prose(90, 5000 + i).split()) for i in range(10)}
+    rows = {r["doc_id"]: r for r in quality.quality(docs(spark, [*good.items(), *junk.items(), *tables.items(), (3000, fallback)])).collect()}
+    assert sum(rows[i]["kept"] for i in good) >= 118
+    assert not any(rows[i]["kept"] for i in junk) and {rows[i]["reject_reason"] for i in junk} == {"characters per token"}
+    assert sum(rows[i]["reject_reason"] == "token entropy" or not rows[i]["kept"] for i in tables) >= 9
+    assert rows[3000]["byte_share"] > 0.5 and rows[3000]["reject_reason"] is not None
+    few = {r["doc_id"]: r for r in quality.quality(docs(spark, [(1, good[1]), (2, junk[1000]), (3, fallback)])).collect()}
+    assert few[1]["kept"] and few[1]["band"] == "none" and few[3]["reject_reason"] in ("byte fallback", "characters per token")
+
+
+@pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="needs the public vocabularies")
+def test_fertility_measures(spark, texts):
+    """Characters per token, byte share and entropy against encoding every text with both vocabularies."""
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    rules = quality.FertilityRules()
+    with open(public_tokenizers.path(rules.vocabulary), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(rules.pieces))
+    odd = {80: "caf\u00e9 \U0001f9ff x \u65e5\u672c\u8a9e \u0001 y", 81: "\u1e9e\u2603 " * 30, 82: "plain", 83: "\u0416\u0438\u0437\u043d\u044c " * 9}
+    rows = {i: t for i, t in [*texts.items(), *odd.items(), *EDGE] if i is not None}
+    got = {r["doc_id"]: r for r in quality.measure(docs(spark, rows.items())).collect()}
+    for i, t in rows.items():
+        ids, n = bpe.encode(t or "", disallowed_special=()), Counter()
+        n.update(ids)
+        pieces = [x for w in (t or "").encode().split() for x in sp.encode(w.decode())]
+        entropy = -sum(k / len(ids) * np.log2(k / len(ids)) for k in n.values()) / np.log2(len(ids)) if len(ids) > 1 else 0.0
+        assert got[i]["n_tokens"] == len(ids) and got[i]["chars_per_token"] == pytest.approx(len(t or "") / max(1, len(ids)))
+        assert got[i]["byte_share"] == pytest.approx(sum(sp.is_byte(x) for x in pieces) / max(1, len(pieces))) and got[i]["entropy"] == pytest.approx(entropy, abs=1e-9)
 
 
 def test_near_duplicates(spark, texts):
