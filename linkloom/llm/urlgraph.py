@@ -6,7 +6,7 @@ where its distrust outweighs its trust by more than the threshold; other pages t
 reaches is allowed.
 
 Links are those of ``href`` and ``src`` to other hosts; many links from one host to another are one weighted edge, counted before
-the shuffle, so a host with a third of all pages is one row among the edges' sources. Each round is written to the shared folder.
+the shuffle, so a host with a third of all pages is one row among the edges' sources. Every few rounds are written to the shared folder.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; null html has no
 links; repeated rows repeat their verdict and count as pages of their host; rules of equal length go by name; an empty table gives an
@@ -30,9 +30,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Spread:
     damping: float = 0.85
-    rounds: int = 20
-    #: Sum of changes at which the rounds end.
-    settled: float = 1e-4
+    #: Sum of changes at which the rounds end; damping shrinks the changes by that factor a round, so some 90 rounds settle any graph.
+    #: Rounds beyond the bound are an error, not a result.
+    settled: float = 1e-6
+    most_rounds: int = 500
+    #: Rounds from one written table to the next.
+    rounds_a_table: int = 5
     #: A host is blocked if distrust / (distrust + trust) exceeds this.
     threshold: float = 0.75
     #: Rules up to this number are broadcast.
@@ -79,25 +82,25 @@ def personalised_pagerank(hosts: DataFrame, edges: DataFrame, seed: str, s: Spre
     rank = base.withColumn("rank", F.col("seed"))
     if not total:
         return rank.select("host", "rank")
+    base = materialize(base)
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")))
     if share.isEmpty():
         return rank.select("host", "rank")
-    ends = materialize(share.select(F.col("src").alias("host")).distinct())
+    # Walks that end at hosts without links go home. Leaving them out scales all ranks alike, so their share is put back at the end.
     rank = materialize(rank)
-    for _ in range(s.rounds):
-        given = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
-        lost = rank.join(ends, "host", "left_anti").agg(F.sum("rank")).first()[0] or 0.0  # hosts without links send the walk home
-        new = rank.join(given, "host", "left").select(
-            "host", "seed", ((1 - s.damping + s.damping * lost) * F.col("seed") + s.damping * F.coalesce("in", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")
-        )
-        new = materialize(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+    for turn in range(0, s.most_rounds, s.rounds_a_table):
+        new = rank
+        for _ in range(s.rounds_a_table):
+            given = share.join(new.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
+            new = base.join(given, "host", "left").select("host", "seed", ((1 - s.damping) * F.col("seed") + s.damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
+        new = materialize(new.join(rank.select("host", F.col("rank").alias("old")), "host"))
+        change, total = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum("rank")).first()
         drop_table(rank)
         rank = new.select("host", "seed", "rank")
         if change < s.settled:
-            break
-    return rank.select("host", "rank")
+            return rank.select("host", (F.col("rank") / total).alias("rank"))
+    raise RuntimeError(f"ranks not settled after {s.most_rounds} rounds")
 
 
 def host_scores(ruled: DataFrame, edges: DataFrame, s: Spread) -> DataFrame:
