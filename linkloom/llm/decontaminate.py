@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import materialize
-from linkloom.llm.screen import blocks, item_shingles, screened, windows
+from linkloom.llm.screen import item_shingles, screened, windows
 
 THRESHOLD = 0.8
 #: Five blocks of 13, 13, 13, 13 and 12 bits.
@@ -70,13 +70,8 @@ def _matches(win: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """One row per document and item it holds: similarity, the best window's first word and its number of words."""
     items = item_shingles(benchmark, item_key)
-    found = []
-    for own, known in blocks(items):
-        hit = screened(docs, doc_key, known)
-        found.append(_matches(windows(hit, own, threshold), own, threshold))
-    if not found:
-        found = [docs.limit(0).select(F.col(doc_key).alias("key")).crossJoin(items.limit(0).select("item")).selectExpr("key", "item", "0 AS start", "0 AS words", "0.0D AS similarity")]
-    best = reduce(DataFrame.unionAll, found).groupBy("key", "item").agg(F.max_by(F.struct("start", "words"), F.struct("similarity", -F.col("start"))).alias("w"), F.max("similarity").alias("similarity"))
+    found = _matches(windows(screened(docs, doc_key, items), items, threshold), items, threshold)
+    best = found.groupBy("key", "item").agg(F.max_by(F.struct("start", "words"), F.struct("similarity", -F.col("start"))).alias("w"), F.max("similarity").alias("similarity"))
     return best.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "similarity", F.col("w.start").alias("start_word"), F.col("w.words").alias("n_words"))
 
 

@@ -12,18 +12,16 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import materialize
-from linkloom.llm.screen import blocks, item_shingles, screened, windows
+from linkloom.llm.screen import item_shingles, screened, windows
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 2
 
-#: Notices of public licenses, by SPDX identifier.
+#: Notices and texts of public licenses, by SPDX identifier.
 TEMPLATES = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -51,6 +49,14 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 ]
 
 
@@ -68,17 +74,15 @@ def bands(shingles: str) -> str:
 def scan(docs: DataFrame, texts: DataFrame | None = None, threshold: float = THRESHOLD, doc_key: str = "doc_id") -> DataFrame:
     """One row per document and template (template, text) it holds: containment, the best window's first word and its words."""
     items = item_shingles(texts if texts is not None else templates(docs.sparkSession), "template")
-    found = []
-    for own, known in blocks(items):
-        win = materialize(windows(screened(docs, doc_key, known), own, threshold).withColumn("bands", F.expr(bands("ws"))))
-        ref = own.withColumn("ibands", F.expr(bands("ish")))
-        keyed = ref.select("*", F.explode("ibands").alias("k")).select("item", "words", "ish", "ibands", "k.b", "k.v")
-        pairs = win.select("*", F.explode("bands").alias("k")).select("key", "words", "start", "ws", "bands", "k.b", "k.v").join(keyed, ["words", "b", "v"])
-        # A pair may meet in several bands: it counts in the first only.
-        pairs = pairs.where("NOT exists(slice(bands, 1, b), x -> x.v = ibands[x.b].v)")
-        share = "size(array_intersect(ws, ish)) / size(array_distinct(ish))"
-        found.append(pairs.select("key", "item", "start", "words", F.expr(share).alias("containment")).where(F.col("containment") >= threshold))
-    best = reduce(DataFrame.unionAll, found).groupBy("key", "item").agg(F.max_by(F.struct("start", "words"), F.struct("containment", -F.col("start"))).alias("w"), F.max("containment").alias("containment"))
+    win = materialize(windows(screened(docs, doc_key, items), items, threshold).withColumn("bands", F.expr(bands("ws"))))
+    ref = items.withColumn("ibands", F.expr(bands("ish")))
+    keyed = ref.select("*", F.explode("ibands").alias("k")).select("item", "words", "ish", "ibands", "k.b", "k.v")
+    pairs = win.select("*", F.explode("bands").alias("k")).select("key", "words", "start", "ws", "bands", "k.b", "k.v").join(keyed, ["words", "b", "v"])
+    # A pair may meet in several bands: it counts in the first only.
+    pairs = pairs.where("NOT exists(slice(bands, 1, b), x -> x.v = ibands[x.b].v)")
+    share = "size(array_intersect(ws, ish)) / size(array_distinct(ish))"
+    found = pairs.select("key", "item", "start", "words", F.expr(share).alias("containment")).where(F.col("containment") >= threshold)
+    best = found.groupBy("key", "item").agg(F.max_by(F.struct("start", "words"), F.struct("containment", -F.col("start"))).alias("w"), F.max("containment").alias("containment"))
     return best.select(F.col("key").alias(doc_key), F.col("item").alias("template"), "containment", F.col("w.start").alias("start_word"), F.col("w.words").alias("n_words"))
 
 

@@ -5,20 +5,19 @@ from items of its own size. Documents are screened for known shingles in one pas
 the windows that hold enough of them are listed. Such a window can be moved right to its first known shingle without losing
 one, so only windows that start at a known shingle, or end with the text, are listed. No match is lost by that.
 
-Items are taken in blocks of at most ``BLOCK`` shingles, so what is compiled into a plan or broadcast is bounded.
+One scan serves any number of items. Up to ``INLINE`` known shingles are compiled into it; more are a table that the documents'
+shingles are joined with, broadcast only up to ``FEW_KNOWN``. Both ways list the same hits.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import SHINGLE_WORDS, materialize, shingle_hashes, words_of
 
-BLOCK = 20_000
+INLINE = 20_000
+FEW_KNOWN = 1_000_000
 
 
 def item_shingles(items: DataFrame, key: str) -> DataFrame:
@@ -27,26 +26,22 @@ def item_shingles(items: DataFrame, key: str) -> DataFrame:
     return materialize(w.select("item", F.size("_w").alias("words"), F.expr(shingle_hashes("_w")).alias("ish")).where("words > 0").dropDuplicates(["item", "ish"]))
 
 
-def blocks(items: DataFrame) -> Iterator[tuple[DataFrame, list[int]]]:
-    """Items in blocks, with the distinct shingles of each block."""
-    sizes = items.select(F.xxhash64("item", "ish").alias("h"), F.size("ish").cast("long").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / BLOCK))
-    for b in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "ish"), F.lit(n_blocks)) == b)
-        known = [r[0] for r in own.select(F.explode("ish")).distinct().collect()]
-        if known:
-            yield own, known
-
-
-def screened(docs: DataFrame, key: str, known: list[int]) -> DataFrame:
-    """_row, key, sh (all shingles) and hits (places of known ones) of the documents with any known shingle."""
+def screened(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """_row, key, sh (all shingles) and hits (places of those that items hold, in order) of the documents with any."""
+    known = materialize(items.select(F.explode("ish").alias("s")).distinct())
     words = docs.select(F.col(key).alias("key"), words_of(F.col("text")).alias("_w"))
     sh = words.select("key", F.expr(shingle_hashes("_w")).alias("sh"))
-    hits = f"CASE WHEN size(sh) > 0 THEN filter(sequence(0, size(sh) - 1), i -> sh[i] IN ({', '.join(f'{k}L' for k in known)})) END"
-    # The row number isn't deterministic, so the filter stays above and the arrays are made once.
-    marked = sh.select("key", "sh", F.expr(hits).alias("hits"), F.monotonically_increasing_id().alias("_row"))
-    return materialize(marked.where("size(hits) > 0"))
+    n = known.count()
+    if n <= INLINE:
+        listed = ", ".join(f"{r[0]}L" for r in known.collect()) or "NULL"
+        hits = f"CASE WHEN size(sh) > 0 THEN filter(sequence(0, size(sh) - 1), i -> sh[i] IN ({listed})) END"
+        # The row number isn't deterministic, so the filter stays above and the arrays are made once.
+        marked = sh.select("key", "sh", F.expr(hits).alias("hits"), F.monotonically_increasing_id().alias("_row"))
+        return materialize(marked.where("size(hits) > 0"))
+    own = materialize(sh.where("size(sh) > 0").select("key", "sh", F.monotonically_increasing_id().alias("_row")))
+    at = own.select("_row", F.posexplode("sh").alias("pos", "s")).join(F.broadcast(known) if n <= FEW_KNOWN else known, "s", "left_semi")
+    hits = at.groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    return materialize(own.join(hits, "_row").select("key", "sh", "hits", "_row"))
 
 
 def windows(hit: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -54,9 +49,10 @@ def windows(hit: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     k = SHINGLE_WORDS
     sizes = items.select("words", F.explode("ish").alias("s")).distinct()
     at = hit.select("_row", "key", "sh", F.explode("hits").alias("pos")).select("_row", F.size("sh").alias("n"), "pos", F.expr("sh[pos]").alias("s"))
-    by = at.join(F.broadcast(sizes), "s").groupBy("_row", "words").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("pos")).alias("h"))
+    by = at.join(F.broadcast(sizes) if sizes.limit(FEW_KNOWN + 1).count() <= FEW_KNOWN else sizes, "s").groupBy("_row", "words").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("pos")).alias("h"))
     by = by.withColumn("m", F.greatest(F.lit(1), F.col("words") - (k - 1))).withColumn("need", F.ceil(F.lit(threshold - 1e-9) * F.col("m")).cast("int"))
     start = "greatest(0, least(h[a], n - m))"
     starts = f"array_distinct(transform(filter(sequence(0, size(h) - need), a -> h[a + need - 1] - {start} < m), a -> {start}))"
     by = by.where("size(h) >= need").select("_row", "words", "m", F.explode(F.expr(starts)).alias("start"))
-    return by.join(hit.select("_row", "key", "sh"), "_row").select("_row", "key", "words", "start", F.expr("slice(sh, start + 1, m)").alias("ws"))
+    # Windows and whole texts both grow with the documents: neither is to be broadcast.
+    return by.join(hit.select("_row", "key", "sh").hint("merge"), "_row").select("_row", "key", "words", "start", F.expr("slice(sh, start + 1, m)").alias("ws"))

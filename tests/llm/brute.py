@@ -98,3 +98,18 @@ def contamination(texts: dict[int, str], items: dict[int, str], threshold: float
             if best >= threshold:
                 out[d, i] = best
     return out
+
+
+def containments(texts: dict[int, str], templates: dict[str, str], threshold: float) -> dict[tuple[int, str], float]:
+    """Best share of a template's shingles in a window of its size, for every pair that reaches the threshold."""
+    out = {}
+    own = {d: shingles(t) for d, t in texts.items()}
+    for name, x in templates.items():
+        q = set(shingles(x))
+        n = max(1, len(words(x)) - 4)
+        for d, s in own.items():
+            if q & set(s):
+                best = max(len(q & set(s[a : a + n])) / len(q) for a in range(max(1, len(s) - n + 1)))
+                if best >= threshold:
+                    out[d, name] = best
+    return out

@@ -157,6 +157,21 @@ def test_licenses(spark, texts):
     assert licenses.licenses(docs(spark, [])).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Every window of every template's size, with whole texts, edited ones and version numbers that tell licenses apart."""
+    r, rows = random.Random(31), {}
+    for i, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        for k in r.sample(range(len(w)), len(w) // 60):
+            w[k] = "edited"
+        rows[i] = f"{prose(r.randint(0, 50), 100 + i)} {' '.join(w)} {prose(r.randint(0, 50), 300 + i)}"
+    got = {(x["doc_id"], x["template"]): x["containment"] for x in licenses.scan(docs(spark, rows.items())).collect()}
+    want = brute.containments(rows, {f"{n}#{i}": t for i, (n, t) in enumerate(licenses.TEMPLATES)}, licenses.THRESHOLD)
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) >= len(rows)
+    named = {(x["doc_id"], x["license"]) for x in licenses.licenses(docs(spark, rows.items())).collect()}
+    assert all((i, n) in named for i, (n, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_personal_data(spark):
     cases = [
         "a@b.c_d@e.f x@y..z q@w.e. mail.a+b@c-d.e-f", "1.2.3.4.5 256.1.1.1 0.0.0.0 01.002.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112 5500005555555559!!", "+1 (017) 555-7713 +123 +1234567890123456789",
@@ -329,7 +344,7 @@ def test_pagerank_against_dense(spark):
     n = 12
     e = [(f"h{a}", f"h{b}", r.randint(1, 3)) for a in range(n) for b in range(n) if a != b and r.random() < 0.2]
     hosts = spark.createDataFrame([(f"h{i}", float(i < 2)) for i in range(n)], "host string, good double")
-    s = urlgraph.Spread(rounds=60, settled=1e-9)
+    s = urlgraph.Spread()
     got = {x["host"]: x["rank"] for x in urlgraph.personalised_pagerank(hosts, spark.createDataFrame(e, "src string, dst string, n long"), "good", s).collect()}
     m, v = np.zeros((n, n)), np.array([0.5 if i < 2 else 0.0 for i in range(n)])
     for a, b, k in e:
@@ -338,7 +353,50 @@ def test_pagerank_against_dense(spark):
     x = v.copy()
     for _ in range(200):
         x = (0.15 + 0.85 * x[out == 0].sum()) * v + 0.85 * (m / np.where(out, out, 1)) @ x
-    assert [got[f"h{i}"] for i in range(n)] == pytest.approx(x.tolist(), abs=1e-6)
+    assert [got[f"h{i}"] for i in range(n)] == pytest.approx(x.tolist(), abs=1e-5)
+
+
+def test_verdicts_spread_over_links(spark):
+    """Hosts of which no rule says anything, against both walks solved densely; among them a chain of 25 hops to a blocked host."""
+    r = random.Random(16)
+    hosts = [f"h{i}.net" for i in range(20)] + [f"c{i}.net" for i in range(25)]
+    links = {h: r.sample(hosts[:20] + ["good.org", "bad.com"], r.randint(0, 4)) for h in hosts[:20]}
+    links |= {f"c{i}.net": [f"c{i + 1}.net" if i < 24 else "bad.com"] for i in range(25)}
+    links |= {"good.org": hosts[:6], "bad.com": ["h19.net"]}
+    pages = [(i, f"https://{h}{'/de/x' if h == 'bad.com' else '/a'}", "".join(f'<a href="//{x}/">' for x in to)) for i, (h, to) in enumerate(links.items())]
+    got = {x["host"]: x for x in urlgraph.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    names = sorted(links)
+    m = np.zeros((len(names), len(names)))
+    for h, to in links.items():
+        for x in to:
+            if x != h:
+                m[names.index(x), names.index(h)] += 1
+
+    def walk(m, seed):
+        v = np.array([float(n == seed) for n in names])
+        out, x = m.sum(0), v.copy()
+        for _ in range(400):
+            x = (0.15 + 0.85 * x[out == 0].sum()) * v + 0.85 * (m / np.where(out, out, 1)) @ x
+        return x
+
+    trust, distrust = walk(m, "good.org"), walk(m.T, "bad.com")
+    blocked = {n for n, a, b in zip(names, trust, distrust) if b > 0.75 * (a + b)}
+    assert {n for n in names if got[n]["verdict"] == "block"} == (blocked | {"bad.com"}) - {"good.org"}
+    assert "c0.net" in blocked and 3 < len(blocked & set(hosts[:20])) < 20
+    assert [got[n]["trust"] for n in names] == pytest.approx(trust.tolist(), abs=1e-5)
+
+
+def test_screen_of_many_shingles(spark, texts, monkeypatch):
+    """Known shingles in a table, broadcast or not, find what those compiled into the scan find."""
+    from linkloom.llm import screen
+
+    bench = spark.createDataFrame([(i, " ".join(texts[i].split()[10:60])) for i in range(6)], "item_id long, text string")
+    run = lambda: sorted(map(tuple, decontaminate.contamination(docs(spark, [*texts.items(), *EDGE]), bench).collect()), key=str)
+    inline = run()
+    monkeypatch.setattr(screen, "INLINE", 10)
+    assert run() == inline and len(inline) >= 6
+    monkeypatch.setattr(screen, "FEW_KNOWN", 10)
+    assert run() == inline
 
 
 def test_passages(spark):
