@@ -38,7 +38,7 @@ def screened(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
         # The row number isn't deterministic, so the filter stays above and the arrays are made once.
         marked = sh.select("key", "sh", F.expr(hits).alias("hits"), F.monotonically_increasing_id().alias("_row"))
         return materialize(marked.where("size(hits) > 0"))
-    own = materialize(sh.where("size(sh) > 0").select("key", "sh", F.monotonically_increasing_id().alias("_row")))
+    own = materialize(sh.select("key", "sh", F.monotonically_increasing_id().alias("_row")).where("size(sh) > 0"))
     at = own.select("_row", F.posexplode("sh").alias("pos", "s")).join(F.broadcast(known) if n <= FEW_KNOWN else known, "s", "left_semi")
     hits = at.groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
     return materialize(own.join(hits, "_row").select("key", "sh", "hits", "_row"))
