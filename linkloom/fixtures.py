@@ -66,7 +66,7 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = canonical_url(F.col("url"))
     title = decode_entities(F.regexp_extract("html", r"(?i)<title[^>]*>([\s\S]*?)</title>", 1))
     # Aggregated by the address's id, so that only short columns move.
-    own = pages.select(p, url.alias("url"), F.substring(title, 1, 160).alias("title"))
+    own = pages.select(p, url.alias("url"), title.alias("title"))
     own = own.groupBy("url").agg(F.min_by(F.struct("page_id", "title"), "page_id").alias("x")).select("url", "x.*")
     two = F.array_distinct(F.array(_pick(GROUPS, p), _pick(GROUPS, p * 7 + 3)))
     lang = F.regexp_extract("url", r"^https://[^/]+/([^/]+)", 1)
@@ -82,10 +82,10 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docrec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id (zero-padded doc_id), title (first line cut to 80), description (the next 160 characters) and tags of documents."""
+    """id (zero-padded doc_id), title (first line, up to 80 characters), description (all the rest of the text) and tags of documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = F.substring(F.substring_index("text", "\n", 1), 1, 80)
-    return d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "doc_id", first.alias("title"), F.substring(F.col("text"), F.length(first) + 1, F.lit(160)).alias("description"), F.array("lang", "source").alias("tags"))
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "doc_id", first.alias("title"), F.expr("substring(text, length(substring(substring_index(text, '\\n', 1), 1, 80)) + 1)").alias("description"), F.array("lang", "source").alias("tags"))
 
 
 def link_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,15 +56,14 @@ def violations(store: DataFrame, taxonomy: Taxonomy | None = None, order: str =
     found = F.concat(F.array_compact(F.array(*checks)), *(F.coalesce(m, none) for m in many))
     per_row = r.select("_who", found.alias("_found")).select(F.col("_who").alias("id"), F.explode("_found").alias("msg"))
 
-    def repeated(column: str, label: str, other: Column) -> DataFrame:
-        """Second and later records of one value. Only values that repeat reach the window."""
-        own = r.where(F.coalesce(F.col(column), F.lit("")) != "")
-        twice = own.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(column)
-        w = Window.partitionBy(column).orderBy(order)
-        seen = own.join(twice, column).select("_who", F.lag(other).over(w).alias("prev"), F.row_number().over(w).alias("k"))
-        return seen.where("k > 1").select(F.col("_who").alias("id"), F.concat(F.lit(f"duplicate {label} (also "), "prev", F.lit(")")).alias("msg"))
-
+    # Second and later records of one id or canonical address, both from one pass over the store.
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"), F.lit("undefined"))
+    fact = lambda label, key, other: F.struct(F.lit(label).alias("label"), F.coalesce(key, F.lit("")).alias("key"), other.alias("other"))
+    facts = F.array(fact("id", F.col("id"), title), fact("canonical url", F.col("_canon"), F.coalesce("id", F.lit("undefined"))))
+    same = Window.partitionBy("label", "key").orderBy(order)
+    seen = r.select("_who", order, F.inline(facts)).where("key != ''").withColumns({"prev": F.lag("other").over(same), "k": F.row_number().over(same)})
+    repeated = seen.where("k > 1").select(F.col("_who").alias("id"), F.concat(F.lit("duplicate "), "label", F.lit(" (also "), "prev", F.lit(")")).alias("msg"))
+
     rel = r.select(F.col("_who").alias("id"), F.explode("related").alias("rel"))
     dangling = rel.join(r.select(F.col("id").alias("rel")).distinct(), "rel", "left_anti").select("id", F.concat(F.lit("related id "), "rel", F.lit(" does not resolve")).alias("msg"))
     # Sorted by id: the place of each record among its neighbours, not a sort of the whole store.
@@ -75,7 +74,7 @@ def violations(store: DataFrame, taxonomy: Taxonomy | None = None, order: str =
     ends = bounds.groupBy("p").agg(F.min_by("i", "o").alias("first"), F.max_by("i", "o").alias("last"))  # a row per partition
     across = ends.withColumn("prev", F.lag("last").over(Window.orderBy("p"))).agg(F.max(F.coalesce(F.col("first") < F.col("prev"), F.lit(False))).alias("bad"))
     unsorted = inside.unionAll(across).agg(F.max("bad").alias("bad")).where("bad").select(F.lit("").alias("id"), F.lit("store is not sorted by id").alias("msg"))
-    rows = [per_row, repeated("id", "id", title), repeated("_canon", "canonical url", F.coalesce("id", F.lit("undefined"))), dangling, unsorted]
+    rows = [per_row, repeated, dangling, unsorted]
     if "Unsorted" in t.groups:
         rows.append(store.sparkSession.createDataFrame([("taxonomy", 'contains "Unsorted"; ungrouped is an empty list')], "id string, msg string"))
     return reduce(DataFrame.unionByName, rows)

@@ -82,12 +82,12 @@ SELECT cid AS id, canon AS url, {_KINDS}[p % {len(KINDS)} + 1] AS kind, title, C
 FROM (
   SELECT cid, canon, min(page_id) AS p, arg_min(title, page_id) AS title, {_GROUPS}[min(page_id) % {len(GROUPS)} + 1] AS g1, {_GROUPS}[(min(page_id) * 7 + 3) % {len(GROUPS)} + 1] AS g2,
     regexp_extract(canon, '^https://[^/]+/([^/]+)', 1) AS lang, regexp_replace(regexp_extract(canon, '^https://([^/?#]+)', 1), '^www\\.', '') AS h
-  FROM (SELECT page_id, cid, canon, substr({_TITLE}, 1, 160) AS title FROM ({canonical('SELECT page_id, url, html FROM pages')}) AS r0) AS r1
+  FROM (SELECT page_id, cid, canon, {_TITLE} AS title FROM ({canonical('SELECT page_id, url, html FROM pages')}) AS r0) AS r1
   GROUP BY cid, canon
 ) AS r2"""
 
 DOCREC = """
-SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, doc_id, title, substr(text, length(title) + 1, 160) AS description, [lang, source] AS tags, lang, source
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, doc_id, title, substr(text, length(title) + 1) AS description, [lang, source] AS tags, lang, source
 FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM documents) AS d0"""
 
 LINK_STORE = f"SELECT cid AS id, canon AS url, min(k) AS k FROM ({canonical(LINKS)}) AS l0 GROUP BY cid, canon"

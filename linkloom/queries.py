@@ -20,7 +20,7 @@ from linkloom.operators import upsert as M
 from linkloom.operators import violations as V
 from linkloom.plans import browse as B
 from linkloom.plans.browse import UNFILED, BrowseQuery
-from linkloom.schema import META, RECORD
+from linkloom.schema import GROUPS, META, RECORD, Taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,12 +355,12 @@ def linkable_ids(spark: SparkSession, d: str) -> DataFrame:
     return R.linkable(_titled(spark, d))
 
 
-_DOCSIM = f"SELECT id, {O.tokens('title')} AS tt, {O.tokens('description')} AS dt, list_distinct(tags) AS gt FROM ({O.DOCREC}) AS x"
+_PAGESIM = f"SELECT id, {O.tokens('title')} AS tt, {O.tokens('description')} AS dt, list_distinct(tags) AS gt FROM ({O.REC}) AS x"
 
 
-@query(f"WITH s AS ({_DOCSIM}) SELECT a.id AS a, b.id AS b, round({O.score()}, 6) AS score FROM s AS a JOIN s AS b ON a.id < b.id WHERE {O.score()} >= 0.30")
+@query(f"WITH s AS ({_PAGESIM}) SELECT a.id AS a, b.id AS b, round({O.score()}, 6) AS score FROM s AS a JOIN s AS b ON a.id < b.id WHERE {O.score()} >= 0.30")
 def similar_pairs_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return R.similar_pairs(docrec(spark, d)).withColumn("score", F.round("score", 6))
+    return R.similar_pairs(rec(spark, d)).withColumn("score", F.round("score", 6))
 
 
 # Upserts, merges and patches
@@ -535,7 +535,7 @@ def enrich_targets(spark: SparkSession, d: str) -> DataFrame:
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     """A clean store with defects by the key's remainder, in an order of its own."""
-    own = _cast(_synthetic(link_store(spark, d).where("k > 0").select("url", "k"), "s"))
+    own = _cast(_synthetic(link_store(spark, d).select("url", "k"), "s"))
     m = F.col("_ord") % 23
     long = F.repeat(F.lit("z"), F.lit(170))
     out = own.withColumns(
@@ -543,8 +543,8 @@ def _defects(spark: SparkSession, d: str) -> DataFrame:
             "id": F.when(m == 1, "b_XYZ").otherwise(F.col("id")),
             "url": F.when(m == 2, "").when(m == 3, F.regexp_replace("url", "^https:", "http:")).otherwise(F.col("url")),
             "kind": F.when(m == 4, "blob").otherwise(F.col("kind")),
-            "groups": F.when(m == 5, F.array(F.lit("Nope"))).when(m == 6, F.array(*map(F.lit, ("Science", "Security", "Science", "AI/ML")))).otherwise(F.array(F.lit("Science"))),
-            "tags": F.when(m == 7, F.array(F.lit("UP"))).when(m == 8, F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.lit("t"), i % 8))).otherwise(F.col("tags")),
+            "groups": F.when(m == 5, F.array(F.lit("Nope"))).when(m == 6, F.array(*map(F.lit, ("Science", "Security", "Science", "AI/ML")))).when(m != 20, F.array(F.lit("Science"))),
+            "tags": F.when(m == 7, F.array(F.lit("UP"))).when(m == 8, F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.lit("t"), i % 8))).when(m != 21, F.col("tags")),
             "description": F.when(m == 9, long).when(m == 10, F.lit(None).cast("string")).otherwise(F.col("description")),
             "starred": F.when(m == 11, F.lit(None).cast("boolean")).otherwise(F.col("starred")),
             "notes": F.when(m == 12, F.lit(None).cast("string")).otherwise(F.col("notes")),
@@ -558,26 +558,22 @@ def _defects(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(twins)
 
 
-_M = "k % 23"
-_CLEAN = f"SELECT id, url, k, coalesce(nullif(CASE WHEN k % 4 = 0 THEN '' ELSE concat('s ', k) END, ''), url) AS named FROM ({O.LINK_STORE}) AS a WHERE k > 0"
+_CLEAN = f"SELECT id, url, k, k % 23 AS m, coalesce(nullif(CASE WHEN k % 4 = 0 THEN '' ELSE concat('s ', k) END, ''), url) AS named FROM ({O.LINK_STORE}) AS a"
 
 
 @query(
     f"""WITH c AS ({_CLEAN}), v AS (
-  SELECT {_M} AS m, id, url, k, named FROM c)
-SELECT msg, count(*) AS n FROM (
-  SELECT unnest(CASE m WHEN 1 THEN ['malformed id', 'id does not match its url'] WHEN 2 THEN ['missing url'] WHEN 4 THEN ['unknown kind "blob"'] WHEN 5 THEN ['group "Nope" not in taxonomy']
-    WHEN 6 THEN ['4 groups > 3', 'duplicate groups'] WHEN 7 THEN ['tag "UP" is not lowercase'] WHEN 8 THEN ['9 tags > 8', 'duplicate tags'] WHEN 9 THEN ['description 170 chars > 160'] WHEN 10 THEN ['description is not a string']
-    WHEN 11 THEN ['starred is not a boolean'] WHEN 12 THEN ['notes is not a string'] WHEN 13 THEN ['sources is not an array'] WHEN 14 THEN ['unknown enriched.by "robot"']
+  SELECT CASE WHEN m = 1 THEN 'b_XYZ' ELSE id END AS id, unnest(CASE m WHEN 1 THEN ['malformed id', 'id does not match its url'] WHEN 2 THEN ['missing url'] WHEN 3 THEN CASE WHEN starts_with(url, 'https:') THEN [concat('url is not canonical (should be ', url, ')')] ELSE [] END
+    WHEN 4 THEN ['unknown kind "blob"'] WHEN 5 THEN ['group "Nope" not in taxonomy'] WHEN 6 THEN ['4 groups > 3', 'duplicate groups'] WHEN 7 THEN ['tag "UP" is not lowercase'] WHEN 8 THEN ['9 tags > 8', 'duplicate tags']
+    WHEN 9 THEN ['description 170 chars > 160'] WHEN 10 THEN ['description is not a string'] WHEN 11 THEN ['starred is not a boolean'] WHEN 12 THEN ['notes is not a string'] WHEN 13 THEN ['sources is not an array'] WHEN 14 THEN ['unknown enriched.by "robot"']
     WHEN 15 THEN ['mergedFrom holds a non-string', 'mergedFrom lists this record''s own url', 'duplicate mergedFrom urls'] WHEN 16 THEN ['related to itself'] WHEN 17 THEN ['related id b_ffffffff does not resolve'] WHEN 18 THEN ['related is not an array']
-    WHEN 19 THEN ['duplicate id', 'duplicate canonical url'] ELSE [] END) AS msg FROM v
-  UNION ALL SELECT 'duplicate id' FROM (SELECT row_number() OVER () AS i FROM v WHERE m = 1) AS y WHERE i > 1
-  UNION ALL SELECT 'store is not sorted by id') AS x GROUP BY msg"""
+    WHEN 19 THEN [concat('duplicate id (also ', named, ')'), concat('duplicate canonical url (also ', id, ')')] WHEN 20 THEN ['groups is not an array'] WHEN 21 THEN ['tags is not an array'] ELSE [] END) AS msg FROM c
+  UNION ALL SELECT 'b_XYZ', concat('duplicate id (also ', prev, ')') FROM (SELECT lag(named) OVER (ORDER BY k) AS prev FROM c WHERE m = 1) AS y WHERE prev IS NOT NULL
+  UNION ALL SELECT '', 'store is not sorted by id' UNION ALL SELECT 'taxonomy', 'contains "Unsorted"; ungrouped is an empty list')
+SELECT id, msg FROM v"""
 )
 def violations(spark: SparkSession, d: str) -> DataFrame:
-    found = V.violations(_defects(spark, d)).where("NOT startswith(msg, 'url is not canonical')")
-    short = F.regexp_replace("msg", r" \(also .*$", "")
-    return found.select(short.alias("msg")).groupBy("msg").agg(F.count(F.lit(1)).alias("n"))
+    return V.violations(_defects(spark, d), Taxonomy(groups=[*GROUPS, "Unsorted"]))
 
 
 @query(

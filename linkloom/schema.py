@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -54,21 +55,13 @@ class Taxonomy:
 LANGUAGE_HINT = {"Rust": "Programming Languages", "Zig": "Programming Languages", "Haskell": "Programming Languages", "OCaml": "Programming Languages", "Elixir": "Programming Languages"}
 TAG_NOISE = ["awesome", "awesome-list", "awesome-lists", "hacktoberfest", "open-source", "opensource", "github", "list", "lists", "collection", "resources", "free", "community", "library", "framework"]
 
-#: Signals by group: a starting table. Rule tables are a parameter of classification and are read from a file by
-#: ``sources.load_rules``; a collection brings its own, of any size.
-RULES = {
-    "AI/ML": ["llm", "llms", "machine-learning", "deep-learning", "ai", "transformers", "nlp", "pytorch", "tensorflow", "embeddings", "rag", "gpt", "inference"],
-    "Agents & Tooling": ["agent", "agents", "ai-agents", "agentic", "mcp", "copilot", "prompt", "prompt-engineering", "tool-use"],
-    "Data & Databases": ["database", "databases", "postgres", "postgresql", "mysql", "sqlite", "duckdb", "sql", "etl", "dataframe", "pandas", "spark", "analytics"],
-    "DevOps & Cloud": ["kubernetes", "docker", "terraform", "devops", "aws", "cloud", "serverless", "helm", "monitoring", "deployment"],
-    "Security": ["security", "cryptography", "encryption", "authentication", "oauth", "malware", "privacy"],
-    "Web & Frontend": ["react", "vue", "svelte", "frontend", "css", "browser", "html", "ui", "ux", "web", "wasm", "website"],
-    "Systems & Infrastructure": ["kernel", "linux", "compiler", "networking", "performance", "concurrency", "embedded", "runtime"],
-    "Programming Languages": ["programming-language", "type-system", "parser", "lexer"],
-    "Tools & Utilities": ["cli", "command-line", "terminal", "editor", "vim", "automation", "shell", "git", "utility", "formatter", "linter"],
-    "Career & Learning": ["tutorial", "course", "learning", "education", "book", "books", "guide", "documentation"],
-    "Science": ["research", "paper", "papers", "science", "physics", "mathematics", "statistics", "simulation"],
-    "Business & Strategy": ["startup", "saas", "business", "marketing", "finance", "growth", "pricing"],
-    "Product & Design": ["design", "typography", "icons", "animation", "accessibility"],
-    "Media & Talks": ["video", "audio", "podcast", "streaming", "music", "media", "talk", "conference"],
-}
+def own_words(group: str) -> list[str]:
+    """Signals that a group's name gives by itself: its words, in the singular too, and all of them joined by hyphens."""
+    words = re.findall("[a-z]+", group.lower())
+    short = [w[:-3] + "y" if w.endswith("ies") else w if w.endswith(("ss", "ops")) else w.removesuffix("s") for w in words if len(w) > 3]
+    return list(dict.fromkeys([*words, *short, "-".join(words)]))
+
+
+#: Signals by group that classification starts from. Rule tables are a parameter, read from a file of any size by
+#: ``sources.store.load_rules``: a collection brings its own.
+RULES = {g: own_words(g) for g in GROUPS}

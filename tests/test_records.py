@@ -78,7 +78,7 @@ def test_classification(spark):
     rows = spark.createDataFrame(
         [("a", "a sql thing", "", ["SQL", "sql"], ""), ("b", "x", "sql", [], "Rust"), ("c", "cli sql", "shell duckdb", [], "Rust"), ("d", "", "", [], "Rust"), ("e", None, None, None, None)], "id string, title string, description string, topics array<string>, language string"
     )
-    out = {r["id"]: (r["groups"], r["confident"]) for r in C.classify(rows, C.rule_table(spark)).collect()}
+    out = {r["id"]: (r["groups"], r["confident"]) for r in C.classify(rows, C.rule_table(spark, {"Data & Databases": ["sql", "duckdb"], "Tools & Utilities": ["cli", "shell"]})).collect()}
     assert out == {"a": (["Data & Databases"], True), "b": ([], False), "c": (["Data & Databases", "Tools & Utilities"], True), "d": ([], False), "e": ([], False)}
 
 
