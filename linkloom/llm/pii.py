@@ -232,8 +232,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, b: Bootstrap | None = None) -> DataFrame:
     """The same rows and columns; every span's text gives way to its kind in brackets, and n_chars, if there, is counted anew."""
-    keyed = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("key")))
-    spans = find(keyed, b, ("key",)).where("size(spans) > 0").select("key", "spans")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    keyed = materialize(docs.select(F.struct(*others).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("key")))
+    # Written first, so that the planner knows its size and moves all texts only where it is large.
+    spans = materialize(find(keyed, b, ("key",)).where("size(spans) > 0").select("key", "spans"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     # Overlapping spans are cut once: a span that starts before the last end is skipped up to that end.
     step = (
