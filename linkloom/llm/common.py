@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -70,3 +72,19 @@ def shingle_hashes(words: str, k: int = SHINGLE_WORDS) -> str:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts can be very long: bound the rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: The models that this worker keeps, by the operator that made them.
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What a worker keeps for one operator between tasks. Workers outlive stages, so what they kept for other operators is given back first."""
+    for other in [x for x in _HELD if x != operator]:
+        del _HELD[other]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which returns memory by itself
+            pass
+    return _HELD.setdefault(operator, {})

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import drop_table, materialize, shingle_hashes, words_of
+from linkloom.llm.common import drop_table, held, materialize, shingle_hashes, words_of
 
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
@@ -100,6 +100,7 @@ def _signatures(docs: DataFrame, key: str) -> DataFrame:
     sh = words.select("key", F.expr(shingle_hashes("_w")).alias("s")).select("key", "s", F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(7), "s").alias("c2"), F.monotonically_increasing_id().alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("neardup")
         for batch in batches:
             lists = batch.column(1)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialize
+from linkloom.llm.common import held, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,8 +32,6 @@ CLASSES, PATTERN_DOCS = 64, 3
 class _Tokens:
     """A worker's tokeniser. The ids of white-space-bounded chunks are kept up to a bound."""
 
-    _own: dict[tuple[str, int], _Tokens] = {}
-
     def __init__(self, path: str, most: int = 400_000):
         import os
 
@@ -48,9 +46,10 @@ class _Tokens:
 
     @classmethod
     def get(cls, *key) -> _Tokens:
-        if key not in cls._own:
-            cls._own[key] = cls(*key)
-        return cls._own[key]
+        own = held("packing")
+        if key not in own:
+            own[key] = cls(*key)
+        return own[key]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, as the tokeniser gives for the whole text.

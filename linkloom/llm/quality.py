@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialize
+from linkloom.llm.common import held, materialize
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
@@ -93,8 +93,6 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 class _Vocabularies:
     """A worker's tokenisers, and which characters the piece vocabulary has only as bytes."""
 
-    _own: dict[tuple[str, str], _Vocabularies] = {}
-
     def __init__(self, ranks_path: str, pieces_path: str):
         import public_tokenizers
         import sentencepiece
@@ -109,9 +107,10 @@ class _Vocabularies:
 
     @classmethod
     def get(cls, *key) -> _Vocabularies:
-        if key not in cls._own:
-            cls._own[key] = cls(*key)
-        return cls._own[key]
+        own = held("quality")
+        if key not in own:
+            own[key] = cls(*key)
+        return own[key]
 
     def byte_share(self, text: str, words: list[bytes]) -> float:
         """Of all pieces of the words, the share that are single bytes. Only characters without a piece fall back, so texts without such have none."""
