@@ -14,7 +14,7 @@ from linkloom.llm.common import materialize, small_batches, table
 
 
 #: Workers serve all stages one after another, so what one stage keeps adds to the memory of the next.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
