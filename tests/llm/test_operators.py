@@ -438,6 +438,33 @@ def test_passages_of_common_phrases(spark):
     assert max(r["equal_words"] for r in found) == 80
 
 
+def test_passages_at_a_common_line(spark, monkeypatch):
+    """All texts hold one line; some pairs share the 40 words after it too, of which every fifth is edited, so that the line's seeds are all they share."""
+    line = prose(20, 820)
+    rows, pairs = {}, [(3, 17), (5, 30), (8, 9), (12, 39), (21, 34), (25, 27)]
+    for i in range(40):
+        rows[i] = f"{prose(30, 8000 + i)} {line} {prose(70, 9000 + i)}"
+    for i, j in pairs:
+        after = prose(40, 9500 + i).split()
+        rows[i] = f"{prose(30, 8000 + i)} {line} {' '.join(after)} {prose(30, 9000 + i)}"
+        after[4::5] = [f"edited{x}" for x in range(8)]
+        rows[j] = f"{prose(30, 8000 + j)} {line} {' '.join(after)} {prose(30, 9000 + j)}"
+    for block in (substring.BLOCK, 7):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        found = substring.passages(docs(spark, rows.items())).collect()
+        assert {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in found} == set(pairs)
+        assert all(r["equal_words"] >= 52 and r["identity"] >= 0.8 for r in found)
+
+
+def test_passages_of_few_texts_have_all_pairs(spark):
+    """Each two of six texts that share a passage have a row; a further key of one of them has one row, of the whole text."""
+    shared = prose(60, 821)
+    rows = [(i, f"{prose(20, 8100 + i)} {shared} {prose(20, 8200 + i)}") for i in range(6)]
+    found = substring.passages(docs(spark, [*rows, (50, rows[2][1]), (50, rows[2][1])])).collect()
+    assert sorted(tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in found) == sorted([*((i, j) for i in range(6) for j in range(i + 1, 6)), (2, 50)])
+    assert [(r["start_word"], r["end_word"], r["identity"]) for r in found if 50 in (r["doc_id"], r["other_doc_id"])] == [(0, 100, 1.0)]
+
+
 def test_passages_of_a_hot_text(spark, monkeypatch):
     """Many chains of one hub are dealt over tasks; nothing is lost, whichever way texts are looked up."""
     shared = prose(60, 811)
