@@ -456,6 +456,51 @@ def test_passages_at_a_common_line(spark, monkeypatch):
         assert all(r["equal_words"] >= 52 and r["identity"] >= 0.8 for r in found)
 
 
+def test_pairs_at_a_common_line_move_only_if_they_can_pass(spark, monkeypatch):
+    """40 texts hold one line of 25 words and share no passage, so no two of them are chained anew."""
+    line, joined = prose(25, 830), []
+    monkeypatch.setattr(substring, "_joined", lambda met, pairs, do=substring._joined: joined.append(pairs.count()) or do(met, pairs))
+    assert substring.passages(docs(spark, [(i, f"{prose(30, 8300 + i)} {line} {prose(70, 8400 + i)}") for i in range(40)])).count() == 0
+    assert joined == []
+
+
+def test_near_pairs_keep_all_passages():
+    """At each seed of a passage, or for one longer than a slice at one of them, both texts are near; those of a common line alone aren't."""
+    r, p = np.random.default_rng(14), substring.Passages()
+    passed = 0
+    for turn in range(400):
+        words = int(r.integers(46, 130 if turn % 2 else 500))
+        a, b = r.integers(1, 2**31, 200 + words), r.integers(1, 2**31, 200 + words)
+        b[90 : 90 + words] = a[90 : 90 + words]
+        if turn % 5 == 0:  # few words, often repeated
+            a, b = a % 7, b % 7
+            b[90 : 90 + words] = a[90 : 90 + words]
+        at = 90 + r.choice(words, int(words * r.choice([0, 0.05, 0.1, 0.15, 0.2])), replace=False)
+        b[at] = r.integers(1, 2**31, len(at))
+        third = len(at) // 3 if turn % 3 else 0
+        b = np.insert(np.delete(b, at[:third]), at[third : 2 * third], 8)
+        # Common seeds: equal words in order, by the shift that edits made of their place.
+        anchors, j = [], 0
+        for i in range(90, 85 + words):
+            y = next((y for y in range(max(j, i - 40), i + 41) if np.array_equal(a[i : i + 5], b[y : y + 5])), None)
+            if y is not None and (not anchors or i - anchors[-1][0] >= 6):
+                anchors.append((i, y))
+                j = y + 1
+        for s, e, t, f, _ in substring.split(a, b, [x for x, _ in anchors], [y for _, y in anchors], p) if anchors else []:
+            inside = [(x, y) for x, y in anchors if s <= x and x + 5 <= e and t <= y and y + 5 <= f]
+            near = []
+            for x, y in inside:
+                u, v = a[max(0, x - substring.AROUND) : x + 5 + substring.AROUND], b[max(0, y - substring.AROUND) : y + 5 + substring.AROUND]
+                close = substring._near(np.concatenate([u, v]).astype(np.uint64), np.array([len(u), len(v)]), np.array([min(x, substring.AROUND), min(y, substring.AROUND)]), 19, p)
+                near.append(bool(close(0, np.array([1]))[0]))
+            assert any(near) and (all(near) or e - s > substring.AROUND), (turn, words, near)
+            passed += 1
+    assert passed > 250
+    a, b = r.integers(1, 2**31, 261), r.integers(1, 2**31, 261)
+    b[120:145] = a[120:145]
+    assert not substring._near(np.concatenate([a, b]).astype(np.uint64), np.array([261, 261]), np.array([128, 128]), 19, p)(0, np.array([1]))[0]
+
+
 def test_passages_of_few_texts_have_all_pairs(spark):
     """Each two of six texts that share a passage have a row; a further key of one of them has one row, of the whole text."""
     shared = prose(60, 821)
