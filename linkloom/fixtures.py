@@ -9,6 +9,7 @@ from linkloom.functions.text import decode_entities, utf16_length
 from linkloom.functions.urls import canonical_url, host_of, link_id
 from linkloom.operators.upsert import new_records
 from linkloom.schema import GROUPS, KINDS, META
+from linkloom.tables import materialize
 
 NOW = "2026-01-01T00:00:00.000Z"
 INTERNAL = ("corp.example",)
@@ -89,9 +90,14 @@ def docrec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bare records (id, url, related, k) of the canonical addresses of links: the least k's."""
-    own = links(spark, sf_dir).select("k", canonical_url(F.col("url")).alias("url")).groupBy("url").agg(F.min("k").alias("k"))
-    return own.select(link_id(F.col("url")).alias("id"), "url", "k")
+    """Bare records (id, url, k) of the canonical addresses of links: the least k's. Written once, as queries read it several times."""
+    return materialize(first_links(links(spark, sf_dir)).select(link_id(F.col("url")).alias("id"), "url", "k"))
 
 
-__all__ = ["INTERNAL", "LINKS", "NOW", "docrec", "link_id", "link_store", "links", "rec", "utf16_length"]
+def first_links(rows: DataFrame) -> DataFrame:
+    """url (canonical) and its least k, of rows (k, url). Each spelling of an address is taken apart once."""
+    spelled = rows.groupBy("url").agg(F.min("k").alias("k"))
+    return spelled.select("k", canonical_url(F.col("url")).alias("url")).groupBy("url").agg(F.min("k").alias("k"))
+
+
+__all__ = ["INTERNAL", "LINKS", "NOW", "docrec", "first_links", "link_id", "link_store", "links", "rec", "utf16_length"]

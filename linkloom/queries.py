@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import oracles as O
-from linkloom.fixtures import INTERNAL, NOW, docrec, link_store, links, rec
+from linkloom.fixtures import INTERNAL, NOW, docrec, first_links, link_store, links, rec
 from linkloom.functions import text as T
 from linkloom.functions import urls as U
 from linkloom.operators import classify as C
@@ -387,9 +387,9 @@ def _synthetic(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    all_ = links(spark, d).select("k", U.canonical_url(F.col("url")).alias("url"))
-    old = all_.where("k % 3 = 0").groupBy("url").agg(F.min("k").alias("k"))
-    store = _synthetic(old, "old")
+    own = links(spark, d)
+    all_ = own.select("k", U.canonical_url(F.col("url")).alias("url"))
+    store = _synthetic(first_links(own.where("k % 3 = 0")), "old")
     by = F.when(F.col("_ord") % 9 == 0, F.struct(F.lit(NOW).alias("at"), F.lit("human").alias("by"))).otherwise(F.col("enriched"))
     return _cast(store.withColumn("enriched", by)).drop("_ord"), _cast(_synthetic(all_.where("k % 2 = 0"), "new"))
 
@@ -513,7 +513,8 @@ def patch_apply(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT CASE WHEN k % 11 = 0 THEN 'b_nope' ELSE id END AS id, k, description AS sd, g, t FROM ({_synthetic_sql(O.LINK_STORE, 's')}) AS a WHERE k > 0) AS x"""
 )
 def llm_reply_validation(spark: SparkSession, d: str) -> DataFrame:
-    own = link_store(spark, d).where("k > 0")
+    every = link_store(spark, d)
+    own = every.where("k > 0")
     k = F.col("k")
     item = F.struct(
         F.when(k % 11 == 0, "b_nope").otherwise(F.col("id")).alias("id"),
@@ -522,7 +523,7 @@ def llm_reply_validation(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.lit("shared"), F.lit("new")).alias("tags"),
     )
     replies = own.select(F.floor(k / 20).alias("batch"), item.alias("i")).groupBy("batch").agg(F.concat(F.lit("Here you are:\n"), F.to_json(F.collect_list("i")), F.lit("\ndone")).alias("reply"))
-    store = _cast(_synthetic(link_store(spark, d).select("url", "k"), "s"))
+    store = _cast(_synthetic(every.select("url", "k"), "s"))
     out = E.validated(E.parse_replies(replies), store)
     none = F.lit("")
     return out.select("id", "ok", F.coalesce("why", none).alias("why"), F.coalesce("description", none).alias("description"), *(F.coalesce(F.array_join(c, "|"), none).alias(c) for c in ("groups", "tags", "rejected")))

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from linkloom.fixtures import first_links
 from linkloom.functions import text as T
 from linkloom.operators import resolve as R
 
@@ -37,3 +38,12 @@ def test_no_token_is_held_against_itself_whole(spark):
     assert plan.count() == 0
     text = plan._jdf.queryExecution().toString()
     assert "Deduplicate" not in text and "Distinct" not in text
+
+
+def test_link_store_takes_a_spelling_apart_once(spark):
+    """The addresses of many rows are few, and the least key of all spellings is kept."""
+    rows = [(k, f"https://GitHub.com/A/b{k % 2}" + ("/tree/main" if k % 3 else "")) for k in range(5, 300)]
+    out = first_links(spark.createDataFrame(rows, "k long, url string"))
+    assert {(r["url"], r["k"]) for r in out.collect()} == {("https://github.com/a/b0", 6), ("https://github.com/a/b1", 5)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
