@@ -31,16 +31,28 @@ def refusals(rows: DataFrame) -> DataFrame:
     return rows.where("why IS NOT NULL").groupBy("why").agg(F.count(F.lit(1)).alias("n"))
 
 
-def earliest_sightings(rows: DataFrame, order: str = "_ord") -> DataFrame:
-    """One row per canonical address: the first, replaced only by earlier numeric times if its own time is one."""
+def spelled(rows: DataFrame, order: str = "_ord") -> DataFrame:
+    """url, seed (first sighting, with its order) and early (that of least numeric time) of every spelling of an address, taken apart by none."""
     n = F.trim("ts").try_cast("double")
-    own = rows.withColumns({"url": canonical_url(F.col("url")), "_n": F.when(F.coalesce("ts", F.lit("")) != "", n)})
+    own = rows.withColumn("_n", F.when(F.coalesce("ts", F.lit("")) != "", n))
     row = F.struct(*[c for c in own.columns if c != "url"])
-    agg = own.groupBy("url").agg(F.min_by(row, order).alias("seed"), F.min_by(row, F.when(F.col("_n").isNotNull(), F.struct("_n", order))).alias("early"))
-    pick = F.when(F.col("seed._n").isNotNull() & F.col("early").isNotNull(), F.col("early")).otherwise(F.col("seed"))
+    held = F.struct(F.col(order).alias("o"), row.alias("r"))
+    return own.groupBy("url").agg(F.min_by(held, order).alias("seed"), F.min_by(held, F.when(F.col("_n").isNotNull(), F.struct("_n", order))).alias("early"))
+
+
+def earliest_spelled(spellings: DataFrame) -> DataFrame:
+    """One row per canonical address of ``spelled`` rows."""
+    own = spellings.select(canonical_url(F.col("url")).alias("url"), "seed", "early")
+    agg = own.groupBy("url").agg(F.min_by("seed", "seed.o").alias("seed"), F.min_by("early", F.when(F.col("early").isNotNull(), F.struct("early.r._n", "early.o"))).alias("early"))
+    pick = F.when(F.col("seed.r._n").isNotNull() & F.col("early").isNotNull(), F.col("early.r")).otherwise(F.col("seed.r"))
     return agg.select("url", pick.alias("r")).select("url", "r.*").drop("_n", "why")
 
 
+def earliest_sightings(rows: DataFrame, order: str = "_ord") -> DataFrame:
+    """One row per canonical address: the first, replaced only by earlier numeric times if its own time is one."""
+    return earliest_spelled(spelled(rows, order))
+
+
 def link_records(rows: DataFrame, rules: DataFrame, now: str, taxonomy: Taxonomy | None = None, source_type: str = "slack") -> DataFrame:
     """Records of sightings(url, channel, ts): kind, title and groups from the address alone; message text isn't kept."""
     t = taxonomy or Taxonomy()

@@ -21,6 +21,7 @@ from linkloom.operators import violations as V
 from linkloom.plans import browse as B
 from linkloom.plans.browse import UNFILED, BrowseQuery
 from linkloom.schema import GROUPS, META, RECORD, Taxonomy
+from linkloom.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -592,7 +593,7 @@ def import_links(spark: SparkSession, d: str) -> DataFrame:
     """Sightings to an upserted store: screened, canonical, earliest, projected, classified, folded into the records there."""
     e = _table(spark, d, "events").select(F.col("event_id").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("ts"))
     rows = links(spark, d).join(e, "k").withColumns({"_ord": F.col("k"), "channel": F.lit("#links")})
-    ok = I.screened(rows, INTERNAL).where("why IS NULL")
-    incoming = _cast(I.link_records(I.earliest_sightings(ok), C.rule_table(spark), NOW))
+    ok = I.screened(I.spelled(rows), INTERNAL).where("why IS NULL")
+    incoming = _cast(I.link_records(materialize(I.earliest_spelled(ok)), C.rule_table(spark), NOW))
     out = M.upsert(_sides(spark, d)[0], incoming, NOW)
     return out.select("id", "url", "kind", "title", F.array_join("groups", "|").alias("groups"), F.array_join("tags", "|").alias("tags"), F.size("sources").alias("n_sources"), "addedAt")

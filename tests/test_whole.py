@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.fixtures import first_links
 from linkloom.functions import text as T
+from linkloom.operators import imports as I
 from linkloom.operators import resolve as R
 
 
@@ -47,3 +48,11 @@ def test_link_store_takes_a_spelling_apart_once(spark):
     assert {(r["url"], r["k"]) for r in out.collect()} == {("https://github.com/a/b0", 6), ("https://github.com/a/b1", 5)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def test_sightings_meet_across_spellings(spark):
+    rows = [("https://e.example/a", "100", 3), ("https://e.example/a?utm_source=x", "50", 4), ("http://www.e.example/a", "", 9), ("https://e.example/b", "2024-01-01", 1), ("https://e.example/b#x", "5", 2)]
+    df = spark.createDataFrame(rows, "url string, ts string, _ord long")
+    ok = I.screened(I.spelled(df)).where("why IS NULL")
+    for out in (I.earliest_spelled(ok), I.earliest_sightings(df)):
+        assert {(r["url"], r["ts"], r["_ord"]) for r in out.collect()} == {("https://e.example/a", "50", 4), ("https://e.example/b", "2024-01-01", 1)}
