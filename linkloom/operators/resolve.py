@@ -75,8 +75,13 @@ def name_clusters(store: DataFrame) -> DataFrame:
     named = store.select("id", project_name(F.col("url")).alias("name"), F.coalesce(F.substring_index(github_repo(F.col("url")), "/", 1), F.lit("")).alias("owner")).where("name != ''")
     groups = named.groupBy("name").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("owner").alias("owners")).where("size >= 2 AND owners >= 2")
     members = named.join(groups, "name").join(_with_tokens(store), "id")
-    a, b = members.alias("a"), members.alias("b")
-    best = a.join(b, F.expr("a.name = b.name AND a.id < b.id")).groupBy(F.col("a.name").alias("name")).agg(F.max(_score()).alias("score"))
+    # Members of one wording are one, and score against each other what one scores against itself.
+    words = ["tt", "dt", "gt"]
+    kinds = materialize(members.groupBy("name", *(F.array_sort(c).alias(c) for c in words)).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).withColumn("_r", F.monotonically_increasing_id()))
+    x, y = _dealt(kinds, ["name"])
+    met = x.alias("a").join(y.alias("b"), ["name", "_x", "_y"]).where("(_x != _y OR a._r < b._r) AND least(a.lo, b.lo) < greatest(a.hi, b.hi)").select("name", _score().alias("score"))
+    alone = kinds.where("lo < hi").alias("a").select("name", _score("a", "a").alias("score"))
+    best = met.unionAll(alone).groupBy("name").agg(F.max("score").alias("score"))
     return groups.join(best, "name", "left").select("name", "size", "owners", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -41,6 +41,14 @@ def test_no_token_is_held_against_itself_whole(spark):
     assert "Deduplicate" not in text and "Distinct" not in text
 
 
+def test_clusters_score_wordings_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 2)
+    rows = [(f"{k}", f"https://github.com/o{k % 3}/lib", "lib of some kind", "", [f"t{k % 4}"]) for k in range(12)] + [("x", "https://github.com/a/one", "alpha", "", []), ("y", "https://github.com/b/one", "beta", "", [])]
+    df = spark.createDataFrame(rows, "id string, url string, title string, description string, tags array<string>")
+    out = {r["name"]: (r["size"], r["owners"], round(r["score"], 6)) for r in R.name_clusters(df).collect()}
+    assert out == {"lib": (12, 3, 0.7), "one": (2, 2, 0.0)}
+
+
 def test_link_store_takes_a_spelling_apart_once(spark):
     """The addresses of many rows are few, and the least key of all spellings is kept."""
     rows = [(k, f"https://GitHub.com/A/b{k % 2}" + ("/tree/main" if k % 3 else "")) for k in range(5, 300)]
